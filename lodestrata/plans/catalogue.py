@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import training
 
 
 def latest_child_left_join(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +16,7 @@ def latest_child_left_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"latest_child_left_join": latest_child_left_join}
+    return {"latest_child_left_join": latest_child_left_join} | training.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mojibake, texts
+from ..session import table
+from . import mojibake, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,16 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts.garble_fields(spark, sf_dir), "text", texts.KEYS)
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made for search engines."""
+    return stuffing.judge_pages(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")
+
+
+def p10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its share of listed and repeated matter."""
+    return stuffing.judge_pages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 

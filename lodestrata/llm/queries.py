@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mojibake, stuffing, texts
+from . import lookalikes, mojibake, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,18 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts.garble_fields(spark, sf_dir), "text", texts.KEYS)
 
 
+def p7_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and correction that isn't its plain writing, with that writing; texts read in a wrong encoding aside."""
+    fields = texts.title_fields(spark, sf_dir)
+    changed = lookalikes.to_plain(fields, "text", texts.KEYS)
+    garbled = mojibake.find_garbled(fields, "text", texts.KEYS).select(*texts.KEYS).distinct()
+    return changed.join(garbled, list(texts.KEYS), "left_anti")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_plain(spark, sf_dir).select(*texts.KEYS)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made for search engines."""
     return stuffing.judge_pages(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")

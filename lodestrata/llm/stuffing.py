@@ -5,7 +5,7 @@ that come back within LAG tokens, often enough in the text, are marked, as
 are links where there are many of them. Inside sentences with function words
 only recurrence within the sentence counts, so that refrains stay text. Marks
 are smoothed over a window of neighbours into regions; a page is stuffed if
-regions hold more than half of its characters. Positional autocorrelation
+regions hold more than SHARE of its characters (stuffed pages measure 0.4 and more, text 0.1 and less). Positional autocorrelation
 (the share of positions that repeat the token `lag` places before, at its
 strongest lag) is reported beside.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Longest gap that counts as recurrence, neighbours on either side, and the share of marks that makes a region.
 LAG, HALF, DENSE = 30, 10, 0.4
 #: Occurrences a recurring word needs, links a list needs, tokens a page needs, share of characters.
-LEAST_COUNT, LEAST_LINKS, LEAST_TOKENS, SHARE = 3, 6, 10, 0.5
+LEAST_COUNT, LEAST_LINKS, LEAST_TOKENS, SHARE = 3, 6, 10, 0.3
 #: A line with at least this share of function words is a sentence.
 SENTENCE = 0.2
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import lookalikes, mojibake, stuffing, texts
+from . import leaks, lookalikes, mojibake, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_plain(spark, sf_dir).select(*texts.KEYS)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item and document where the document holds a passage of the item's note."""
+    return leaks.find_leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages made for search engines."""
     return stuffing.judge_pages(table(spark, sf_dir, "documents")).where("stuffed").select("doc_id")

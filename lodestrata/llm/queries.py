@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leaks, lookalikes, mojibake, stuffing, texts
+from . import leaks, lookalikes, mojibake, names, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,15 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts.garble_fields(spark, sf_dir), "text", texts.KEYS)
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling of an artist with the class of the person or group it means."""
+    return names.link_spellings(texts.artist_spellings(spark, sf_dir), texts.credited_pairs(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(p5_classes(spark, sf_dir))
+
+
 def p7_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every title and correction that isn't its plain writing, with that writing; texts read in a wrong encoding aside."""
     fields = texts.title_fields(spark, sf_dir)

@@ -38,3 +38,25 @@ def title_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = _keyed(releases, "metadata_releases", "id", "title", "title")
     fixes = _keyed(table(spark, sf_dir, "manual_corrections"), "manual_corrections", "id", "value", "value")
     return titles.unionByName(track_titles(releases)).unionByName(fixes)
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """who: name and credited_as of every artist of a release or of its tracks."""
+    person = "struct<name:string,credited_as:string>"
+    parsed = F.from_json("payload", f"struct<artists:array<{person}>,tracks:array<struct<artists:array<{person}>>>>")
+    release = table(spark, sf_dir, "metadata_releases").select(parsed.alias("p"))
+    everyone = F.concat(
+        F.coalesce("p.artists", F.array()), F.flatten(F.transform(F.coalesce("p.tracks", F.array()), lambda t: F.coalesce(t["artists"], F.array())))
+    )
+    return release.select(F.explode(everyone).alias("who"))
+
+
+def artist_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spellings of artists: of releases and tracks (name, credited_as) and of records."""
+    people = _people(spark, sf_dir).select(F.explode(F.array("who.name", "who.credited_as")).alias("spelling"))
+    return people.unionByName(table(spark, sf_dir, "physical_records").select(F.col("artist").alias("spelling")))
+
+
+def credited_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spelling_a, spelling_b: the name and the credit one artist has in one release."""
+    return _people(spark, sf_dir).select(F.col("who.name").alias("spelling_a"), F.col("who.credited_as").alias("spelling_b")).dropna()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leaks, lookalikes, mojibake, names, stuffing, texts
+from . import canonical, leaks, lookalikes, mojibake, names, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,16 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts.garble_fields(spark, sf_dir), "text", texts.KEYS)
 
 
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed value that isn't exactly an entry, with the entry meant."""
+    typed = canonical.typed_values(table(spark, sf_dir, "physical_records"), "id")
+    return canonical.map_values(typed, table(spark, sf_dir, "canonical_values"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_values(spark, sf_dir).drop("typed")
+
+
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spelling of an artist with the class of the person or group it means."""
     return names.link_spellings(texts.artist_spellings(spark, sf_dir), texts.credited_pairs(spark, sf_dir))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import canonical, leaks, lookalikes, mixing, mojibake, names, stuffing, texts
+from . import canonical, entities, leaks, lookalikes, mixing, mojibake, names, stuffing, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,18 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts.garble_fields(spark, sf_dir), "text", texts.KEYS)
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a folder and a release that are the same album, with their confidence."""
+    return entities.match(
+        table(spark, sf_dir, "album_units"), table(spark, sf_dir, "metadata_releases"),
+        texts.artist_spellings(spark, sf_dir), texts.credited_pairs(spark, sf_dir),
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("album_unit_id", "release_id")
+
+
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed value that isn't exactly an entry, with the entry meant."""
     typed = canonical.typed_values(table(spark, sf_dir, "physical_records"), "id")

@@ -95,3 +95,60 @@ def steepest_fall(levels: Column) -> Column:
     steps = F.zip_with(F.slice(levels, F.lit(1), F.size(levels) - 1), F.slice(levels, F.lit(2), F.size(levels) - 1), lambda a, b: a - b)
     most = F.array_max(steps)
     return F.when(F.size(levels) > 1, F.struct((F.array_position(steps, most) - 1).cast("int").alias("place"), most.alias("fall")))
+
+
+def edge_of(x: np.ndarray, rate: int, frame: int = 16384, least_db: float = 30.0, width: float = 150.0) -> tuple[float, float] | None:
+    """The frequency at which most frames fall off a cliff, and the share of frames that do within `width` of it.
+
+    A frame's cliff is the largest drop of its smoothed spectrum over half a
+    kilohertz above 8 kHz; frames with a smaller drop than `least_db` have none.
+    """
+    pieces = _frames(x, frame, frame)
+    if not len(pieces) or not np.any(x):
+        return None
+    hertz = np.fft.rfftfreq(frame, 1 / rate)
+    level = 20 * np.log10(np.abs(np.fft.rfft(pieces * np.hanning(frame), axis=1)) + 1e-9)
+    step = max(1, int(125 / hertz[1]))
+    n = level.shape[1] // step
+    bands = level[:, : n * step].reshape(len(level), n, step).mean(axis=2)
+    centre = hertz[: n * step].reshape(n, step).mean(axis=1)
+    heard = np.flatnonzero(centre >= 8000)
+    if len(heard) < 6:
+        return None
+    fall = bands[:, heard[:-4]] - bands[:, heard[4:]]
+    at, size = fall.argmax(axis=1), fall.max(axis=1)
+    edges = centre[heard[at]][size >= least_db]
+    if not len(edges):
+        return 0.0, 0.0
+    near = (np.abs(edges[:, None] - edges[None, :]) <= width).sum(axis=1) if len(edges) <= 2000 else np.array([(np.abs(edges - e) <= width).sum() for e in edges])
+    best = int(near.argmax())
+    return float(np.median(edges[np.abs(edges - edges[best]) <= width])), float(near[best]) / len(pieces)
+
+
+def top_band_of(x: np.ndarray, rate: int, frame: int = 8192) -> float | None:
+    """Level in dB of the highest tenth of the band against the band from 1 to 10 kHz."""
+    pieces = _frames(x, frame, frame)
+    if not len(pieces) or not np.any(x):
+        return None
+    hertz = np.fft.rfftfreq(frame, 1 / rate)
+    power = (np.abs(np.fft.rfft(pieces * np.hanning(frame), axis=1)) ** 2).mean(axis=0)
+    reference = power[(hertz >= 1000) & (hertz <= 10000)]
+    top = power[hertz >= 0.9 * rate / 2]
+    if not len(reference) or not reference.mean() > 0:
+        return None
+    return float(10 * np.log10(max(top.mean(), 1e-30) / reference.mean()))
+
+
+def measure_edge(samples: Column | str, rate: int) -> Column:
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = [edge_of(np.asarray(x, float), rate) if x is not None else None for x in series]
+        return pd.DataFrame([r or (None, None) for r in rows], columns=["hertz", "share"], dtype="float64")
+
+    return F.pandas_udf(run, "struct<hertz:double,share:double>")(samples)
+
+
+def measure_top_band(samples: Column | str, rate: int) -> Column:
+    def run(series: pd.Series) -> pd.Series:
+        return pd.Series([top_band_of(np.asarray(x, float), rate) if x is not None else None for x in series], dtype="float64")
+
+    return F.pandas_udf(run, "double")(samples)

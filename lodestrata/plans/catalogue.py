@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import evidence, signals, text
-from ..operators import compatibility, relational
+from ..functions import casing, evidence, signals, text
+from ..operators import alignment, compatibility, relational, sequences
 from ..session import table
 from . import training
 
@@ -479,6 +479,48 @@ def spectrum_summaries(s, d):
     return table(s, d, "embeddings").select("vec_id", signals.robust_peak(levels).alias("peak"), fall["place"].alias("place"), fall["fall"].alias("fall"))
 
 
+@query(r"""
+with t as (select id, coalesce(primary_artist, '') as a, title, regexp_matches(title, '(?i)^(.*?)[\s,:(\-]*\b(?:vol(?:ume|\.)?|pt\.?|part)\s*([0-9]{1,3})\)?\s*$') as said from metadata_releases where title is not null),
+p as (select id, a, said, lower(trim(coalesce(nullif(regexp_extract(title, '(?i)^(.*?)[\s,:(\-]*\b(?:vol(?:ume|\.)?|pt\.?|part)\s*([0-9]{1,3})\)?\s*$', 1), ''),
+nullif(regexp_extract(title, '^(.*?)\s+([0-9]{1,3})\s*$', 1), ''), title), ' ')) as stem,
+coalesce(try_cast(regexp_extract(title, '(?i)^(.*?)[\s,:(\-]*\b(?:vol(?:ume|\.)?|pt\.?|part)\s*([0-9]{1,3})\)?\s*$', 2) as integer), try_cast(regexp_extract(title, '^(.*?)\s+([0-9]{1,3})\s*$', 2) as integer)) as volume from t),
+v as (select distinct a, stem from p where said)
+select id, p.stem, volume from p left join v on v.a = p.a and v.stem = p.stem where (said or v.stem is not null) and volume is not null""")
+def series_volumes(s, d):
+    """Volumes of series, by what titles say and what their siblings vouch for."""
+    r = table(s, d, "metadata_releases").where("title is not null").select("id", F.coalesce("primary_artist", F.lit("")).alias("a"), "title")
+    return sequences.volumes(r, "id", "title", ["a"])
+
+
+@query()
+def title_casing(s, d):
+    """Titles with their capitals in order."""
+    return table(s, d, "metadata_releases").where("title is not null").select("id", "title", casing.titles("title").alias("cased"))
+
+
+def _editions(s: SparkSession, d: str) -> DataFrame:
+    """Every release beside the first one of its folded title and artist; never all pairs of a group."""
+    kind = "struct<tracks:array<struct<title:string,duration_ms:bigint>>>"
+    r = table(s, d, "metadata_releases").where("title is not null").select(
+        "id", F.from_json("payload", kind)["tracks"].alias("tracks"), F.lower("title").alias("t"), F.coalesce(F.lower("primary_artist"), F.lit("")).alias("a")
+    )
+    first = r.groupBy("t", "a").agg(F.min("id").alias("first_id"), F.min_by("tracks", "id").alias("first_tracks"))
+    return r.join(first, ["t", "a"]).where("id <> first_id")
+
+
+@query()
+def edition_durations(s, d):
+    """How many durations of an edition agree with the first edition's."""
+    count = alignment.agreeing_durations(F.col("tracks.duration_ms"), F.col("first_tracks.duration_ms"))
+    return _editions(s, d).select("id", "first_id", F.size("tracks").alias("n_tracks"), count.alias("agreeing"))
+
+
+@query()
+def edition_alignment(s, d):
+    """Which track of the first edition each track of another one is, and how that was told."""
+    return _editions(s, d).select("id", "first_id", alignment.aligned("tracks", "first_tracks").alias("x")).select("id", "first_id", "x.method", "x.tracks")
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | training.queries()
 

@@ -23,6 +23,38 @@ def test_text(spark):
     assert [r["r"] for r in out.collect()] == ["t", "t (1999)"]
 
 
+def test_casing(spark):
+    from lodestrata.functions import casing
+
+    cases = {"tales OF the sea": "Tales of the Sea", "CANÇÃO DO AVÔ": "Canção do Avô", "corazón de la peña - live in the park": "Corazón de la Peña - Live in the Park", "McCoy": "McCoy", "": "", "of": "Of"}
+    for text_, wanted in cases.items():
+        assert casing.title_case(text_) == wanted
+        assert casing.title_case(text_).casefold() == text_.casefold() and casing.title_case(wanted) == wanted
+    assert one(spark, None, casing.titles) is None
+
+
+def test_alignment(spark):
+    import itertools
+    import random
+
+    from lodestrata.operators import alignment as al
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 40) for _ in range(rng.randint(0, 5))] for _ in range(2))
+        best = max((sum(abs(x - y) <= 6 for x, y in zip(a, p)) for p in itertools.permutations(b + [999] * 5, len(a))), default=0)
+        assert al.agreeing(a, b, 6) == best
+    assert al.agreeing(None, [1, None]) == 0
+    f = [("Silver Garden", 100_000), ("Paper Clock", 200_000)]
+    assert al.align(f, [("x", 101_000), ("y", 199_000)]) == ("place", [0, 1])
+    assert al.align(f, [("Paper Clock", 1), ("Silver Garden", None), ("z", 5)]) == ("title", [1, 0])
+    assert al.align([("a", 100_000), ("b", 200_000)], [("x", 201_000), ("y", 100_500), ("z", 900_000)]) == ("duration", [1, 0])
+    assert al.align([], f) == ("none", []) and al.align(f, []) == ("none", [-1, -1]) and al.align([(None, None)], f) == ("none", [-1])
+    df = spark.createDataFrame([([("a", 100_000)], [("x", 100_001)]), (None, [("x", 1)])], "f array<struct<n:string,d:long>>, t array<struct<n:string,d:long>>")
+    got = df.select(al.aligned("f", "t").alias("x")).select("x.*").collect()
+    assert [(r["method"], r["tracks"]) for r in got] == [("place", [0]), ("none", [])]
+
+
 def test_absent_evidence_drops_out(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, 0.0), (None, None)], "a double, b double")
     got = [r["m"] for r in df.select(evidence.weighted_mean([(F.col("a"), 0.35), (F.col("b"), 0.25)]).alias("m")).collect()]

@@ -74,3 +74,31 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in connected_components(chain, "a", "b").collect()}
     assert {got[i] for i in range(41)} == {0} and got[101] == 100
     assert connected_components(chain.limit(0), "a", "b").count() == 0
+
+
+def test_sequences(spark):
+    from lodestrata.operators import sequences as q
+
+    parts = spark.createDataFrame([("g", "1a", 10), ("g", "1b", 20), ("g", "2", 5), ("g", "3.1", None), ("g", "3.2", 7), ("g", "x", 1), ("g", None, 1)], "g string, i string, ms int")
+    assert rows(q.merge_parts(parts, "g", "i", "ms"), "base", "parts", "ms") == [("1", 2, 30), ("2", 1, 5), ("3", 2, None)]
+    listed = spark.createDataFrame([("g", 1, "a"), ("g", 2, "b"), ("h", 1, "z")], "g string, p int, t string")
+    extras = spark.createDataFrame([("g", 2, "X"), ("g", None, "Y")], "g string, p int, t string")
+    assert rows(q.with_extras(listed, extras, "g", "p"), "g", "p", "t") == [("g", 1, "a"), ("g", 2, "X"), ("g", 3, "b"), ("g", 4, "Y"), ("h", 1, "z")]
+    titles = spark.createDataFrame([(1, "Hits Vol. 1"), (2, "Hits 2"), (3, "Apollo 13"), (4, None), (5, "Hits Volume 3")], "id int, title string")
+    assert rows(q.volumes(titles, "id", "title"), "id", "stem", "volume") == [(1, "hits", 1), (2, "hits", 2), (5, "hits", 3)]
+
+
+def test_edges_and_top_band():
+    import numpy as np
+
+    from lodestrata.functions import signals
+
+    rate, rng = 44100, np.random.default_rng(1)
+    noise = rng.standard_normal(rate * 3)
+    spectrum = np.fft.rfft(noise)
+    hertz = np.fft.rfftfreq(len(noise), 1 / rate)
+    cut = np.fft.irfft(np.where(hertz < 16000, spectrum, spectrum * 1e-4), len(noise))
+    edge, share = signals.edge_of(cut, rate)
+    assert abs(edge - 16000) < 600 and share > 0.8
+    assert signals.edge_of(noise, rate) == (0.0, 0.0) and signals.edge_of(np.zeros(rate), rate) is None
+    assert signals.top_band_of(cut, rate) < -60 < -3 < signals.top_band_of(noise, rate) and signals.top_band_of(noise[:100], rate) is None

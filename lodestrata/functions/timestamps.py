@@ -15,6 +15,7 @@ instant. A wall-clock time of a row whose zone is null or unknown has the
 status `no_zone`. A wall-clock time that occurs twice is the earlier one, one
 that is skipped is read with the offset before the gap. Digits beyond
 microseconds are dropped. Repeated rows are each resolved under their own key.
+Columns of the input that are named like those added are replaced.
 """
 
 from __future__ import annotations
@@ -191,6 +192,7 @@ def to_instants(values: DataFrame, text: str, source: Sequence[str], zone: str,
     the row's source. The posteriors are a table of a few rows per source; it
     is joined by source, and Spark broadcasts it only while it is small.
     """
+    values = values.drop("format", "posterior", "status", "utc_us")
     read = read_candidates(values, text)
     read = read.withColumn("__source", F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in source]))
     read = read.withColumn("__formats", F.array_join(F.transform("__c", lambda c: c["key"]), "|"))

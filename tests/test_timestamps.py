@@ -38,7 +38,7 @@ CASES = [
 
 def test_every_writing(spark):
     rows = [(i, w, f"s{i}", z, None, "clash") for i, (w, z, _, _) in enumerate(CASES)]
-    df = spark.createDataFrame(rows, KIND).drop("status").withColumn("extra", F.lit(1))
+    df = spark.createDataFrame(rows, KIND).withColumn("utc_us", F.lit(1))
     got = {r["id"]: r for r in to_instants(df, "written", ["source"], "zone_name", "date_order").collect()}
     for i, (w, _, instant, status) in enumerate(CASES):
         assert (got[i]["status"], got[i]["utc_us"]) == (status, instant), (w and w[:40], got[i])

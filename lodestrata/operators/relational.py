@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def latest_per(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The row of each key that is greatest in `order`: an aggregation, so hot keys are combined before the shuffle."""
@@ -123,19 +125,40 @@ def relocate(df: DataFrame, path: str, old: str, new: str) -> tuple[DataFrame, D
     return moved.join(taken, "moved_to", "left_anti"), moved.join(taken, "moved_to", "left_semi")
 
 
+def running(df: DataFrame, group: str, order: Sequence[Column], value: Column, name: str, row: str) -> DataFrame:
+    """Add the running total of `value` (this row included) and the row's number within its group.
+
+    The rows are cut into ranges of group and order; sums per range make a
+    small table that gives each range its start, and only within a range rows
+    are ordered in one task. So a group that holds a third of all rows is
+    spread over as many tasks as its ranges. `order` must be total.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = df.withColumn("__v", F.coalesce(value.cast("bigint"), F.lit(0))).repartitionByRange(n, F.col(group), *order)
+    sliced = cut_lineage(sliced.withColumn("__slice", F.spark_partition_id()))
+    sums = sliced.groupBy(F.col(group).alias("__g"), F.col("__slice").alias("__s")).agg(F.sum("__v").alias("__sum"), F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__g", "__s", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("__sum", "__n")])
+    within = Window.partitionBy(group, "__slice").orderBy(*order)
+    own = sliced.withColumn("__within", F.sum("__v").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__row", F.row_number().over(within))
+    joined = own.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s")))
+    return joined.select(*df.columns, (F.col("__sum_before") + F.col("__within")).alias(name), (F.col("__n_before") + F.col("__row")).alias(row))
+
+
 def budget(df: DataFrame, group: str, size: str, limit: int, *newest_first: Column) -> DataFrame:
     """Rows of each group kept within a budget of sizes, newest first; the newest is kept whatever its size."""
-    w = Window.partitionBy(group).orderBy(*newest_first)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("before", before).withColumn("kept", (before + F.col(size) <= limit) | (F.row_number().over(w) == 1))
+    total = running(df, group, newest_first, F.col(size), "__total", "__row")
+    kept = (F.col("__total") <= limit) | (F.col("__row") == 1)
+    return total.withColumn("before", F.col("__total") - F.coalesce(size, F.lit(0))).withColumn("kept", kept).drop("__total", "__row")
 
 
 def trail(df: DataFrame, group: str, failed: Column, *order: str) -> DataFrame:
     """Steps of each trail before its first failure, with the place in which they are to be undone."""
-    w = Window.partitionBy(group).orderBy(*order)
-    failures = F.sum(F.coalesce(failed.cast("int"), F.lit(0))).over(w)
-    done = df.withColumn("__f", failures).where("__f = 0").drop("__f")
-    return done.withColumn("undo_order", F.row_number().over(Window.partitionBy(group).orderBy(*[F.col(c).desc() for c in order])))
+    place = F.struct(*order)
+    first = df.where(failed).groupBy(group).agg(F.min(place).alias("__first"))
+    done = df.join(first, group, "left").where(F.col("__first").isNull() | (place < F.col("__first"))).drop("__first")
+    undone = running(done, group, [F.col(c).desc() for c in order], F.lit(0), "__total", "undo_order")
+    return undone.withColumn("undo_order", F.col("undo_order").cast("int")).drop("__total")
 
 
 def numbers_repeat(df: DataFrame, group: str, number: str, least: int = 2) -> DataFrame:

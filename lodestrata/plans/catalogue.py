@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casing, evidence, signals, text
@@ -328,15 +328,9 @@ def all_words_search(s, d):
 @query("select id, rating, row_number() over (order by rating desc nulls last, id desc) as place from album_units")
 def rated_order(s, d):
     """The shelf by rating, the unrated last, ties by age: places without a single sorted partition."""
-    rated = table(s, d, "album_units").select("id", "rating")
-    # Places within a rating plus the count of all higher ratings; within a rating, by ranges of ids.
-    coarse = rated.withColumn("band", F.floor(F.col("id") / 1024))
-    sizes = coarse.groupBy("rating", "band").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("rating").desc_nulls_last(), F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n")
-    within = F.row_number().over(Window.partitionBy("rating", "band").orderBy(F.col("id").desc()))
-    joined = coarse.alias("c").join(starts.alias("s"), F.col("c.rating").eqNullSafe(F.col("s.rating")) & (F.col("c.band") == F.col("s.band")))
-    return joined.select("c.id", "c.rating", "c.band", "start").withColumn("place", F.col("start") + within).select("id", "rating", "place")
+    rated = table(s, d, "album_units").select("id", "rating").withColumn("all", F.lit(1))
+    order = [F.col("rating").desc_nulls_last(), F.col("id").desc()]
+    return relational.running(rated, "all", order, F.lit(0), "total", "place").select("id", "rating", "place")
 
 
 @query("""

@@ -58,6 +58,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
 _REPLACED_KINDS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Suspicious to the JVM: anything but the characters that no rule can change.
 SUSPICIOUS = r"[^\x20-\x7e¡-¬®-ʯ–—‘’‚“”„…′″⅓⅔⅛™€]"
+_SUSPICIOUS = re.compile(SUSPICIOUS)
 
 
 def _compatible(c: str) -> bool:
@@ -123,6 +124,8 @@ def _one_script(text: str) -> str:
 
 def plain_form(text: str) -> str:
     """The plain writing of what the text shows."""
+    if not _SUSPICIOUS.search(text):
+        return text
     shown = _SPACE.sub(" ", _INVISIBLE.sub("", text))
     parts, at = [], 0
     for start, end, canonical in _segments(shown):

@@ -2,8 +2,9 @@
 
 Spellings are folded to keys (case, accents, order of words, honorifics and
 quoted nicknames aside). Keys become vectors of character n-grams weighted by
-rarity. Keys that share a telling word, whole or with a slip, meet in a sparse
-join and keep the pairs above the cosine threshold. Each is then checked word by word: typos, initials, cut words
+rarity; a sparse self-join over the rarest grams of each vector, as far down as
+a pair at or above the cosine threshold can first meet, yields all similar
+pairs. Each is then checked word by word: typos, initials, cut words
 and joined words agree; two words left over on both sides agree if they do so
 beside many different family names (nicknames, translated words, learned from
 the data). Checked links are grouped by average linkage.
@@ -36,8 +37,8 @@ GRAM, COSINE, LINKAGE, MAX_LINKAGE = 4, 0.4, 0.3, 3_000
 #: other words a word stands beside to be called rare.
 SUPPORT, SUPPORT_SHARE, RARE = 2, 0.25, 3
 
-#: Up to so many keys a word is telling, whatever the rarest word of the key.
-TELLING = 64
+#: Keys of one gram that one task joins with the others of the gram; more are dealt over several tasks.
+DEALT = 2_000
 
 # Honorifics and joining words that tell no one apart.
 HONORIFICS = frozenset("dr mr mrs ms sir dj mc don dona doña maestro mestre lady prof sr sra the thee los las les de del da do of and y e su seu".split())
@@ -171,45 +172,47 @@ def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _vectors(keys: DataFrame) -> DataFrame:
-    """id, grams, weights: n-grams of every key, weighted by rarity, of length one."""
+    """id, grams, weights, rest: n-grams of every key from rare to common, weighted by rarity, of length one, and the squared length left from each gram on."""
     padded = F.transform(F.split("key", " "), lambda w: F.concat(F.lit("#"), w, F.lit("#")))
     cut = F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(w) - (GRAM - 1), F.lit(1))), lambda i: F.substr(w, i, F.lit(GRAM))))))
     grams = keys.select("id", F.explode(cut).alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("df"))
     total = float(keys.count())
-    weighed = grams.join(counts, "gram").select("id", "gram", F.log(1 + F.lit(total) / F.col("df")).alias("w"))
-    vectors = weighed.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("v"))
+    weighed = grams.join(counts, "gram").select("id", "df", "gram", F.log(1 + F.lit(total) / F.col("df")).alias("w"))
+    vectors = weighed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
     vectors = vectors.withColumn("norm", norm)
-    return vectors.select("id", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
+    vectors = vectors.select("id", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"))
+    spent = F.transform("weights", lambda w, i: F.aggregate(F.slice("weights", 1, i), F.lit(0.0), lambda s, x: s + x * x))
+    return vectors.withColumn("rest", F.transform(spent, lambda s: 1 - s))
 
 
-def similar_keys(keys: DataFrame) -> DataFrame:
-    """a, b, key_a, key_b, cosine of the pairs of keys (columns id, key) that share a telling word and have a cosine of at least COSINE.
+def meeting_keys(vectors: DataFrame) -> DataFrame:
+    """a, b: pairs of vectors that may have a cosine of at least COSINE, all such among them.
 
-    A telling word is the rarest of a key, and any other that is about as rare:
-    so the join never runs over given names or words such as quartet, and its
-    size follows the number of keys, not its square.
+    All vectors order their grams alike. What two of them have in common begins
+    at their first common gram, so their cosine is at most the product of the
+    lengths left from there on; where that is too little they needn't meet.
     """
-    words = keys.select("id", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).where(F.length("word") >= 4)
-    counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    counted = cut_lineage(words.join(counts, "word"))
-    rarest = counted.groupBy("id").agg(F.min("df").alias("least"))
-    telling = counted.join(rarest, "id").where(F.col("df") <= F.greatest(F.lit(TELLING), F.col("least") * 8)).select("id", "word")
-    telling = cut_lineage(telling)
-    distinct = telling.select("word").distinct()
-    near = near_words(distinct, distinct)
-    a = telling.withColumnsRenamed({"id": "a", "word": "word_a"})
-    b = telling.withColumnsRenamed({"id": "b", "word": "word_b"})
-    pairs = a.join(near, "word_a").join(b, "word_b").where("a < b").select("a", "b").distinct()
+    least = COSINE * COSINE - 1e-9
+    held = vectors.select("id", F.explode(F.arrays_zip(F.col("grams").alias("gram"), "rest")).alias("g")).select("id", "g.gram", "g.rest").where(F.col("rest") >= least)
+    parts = held.groupBy("gram").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("parts > 0")
+    held = cut_lineage(held.join(parts, "gram"))
+    left = held.select("gram", F.col("id").alias("a"), F.col("rest").alias("rest_a"), F.pmod("id", F.col("parts").cast("bigint")).cast("int").alias("part"))
+    right = held.select("gram", F.col("id").alias("b"), F.col("rest").alias("rest_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return spread(left, "gram", "part").join(spread(right, "gram", "part"), ["gram", "part"]).where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= least)).select("a", "b").distinct()
+
+
+def similar_keys(keys: DataFrame) -> DataFrame:
+    """a, b, key_a, key_b, cosine of all pairs of keys (columns id, key) with a cosine of at least COSINE."""
     vectors = cut_lineage(_vectors(keys).join(keys, "id"))
     left = vectors.select(F.col("id").alias("a"), F.col("key").alias("key_a"), F.arrays_zip(F.col("grams").alias("g"), F.col("weights").alias("w")).alias("x"))
     right = vectors.select(F.col("id").alias("b"), F.col("key").alias("key_b"), F.col("grams").alias("grams_b"), F.col("weights").alias("weights_b"))
     dot = F.aggregate(
         "x", F.lit(0.0), lambda s, g: s + g["w"] * F.coalesce(F.get("weights_b", (F.array_position("grams_b", g["g"]) - 1).cast("int")), F.lit(0.0))
     )
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "key_a", "key_b", dot.alias("cosine"))
+    met = meeting_keys(vectors).join(left, "a").join(right, "b").select("a", "b", "key_a", "key_b", dot.alias("cosine"))
     return met.where(F.col("cosine") >= COSINE)
 
 

@@ -1,6 +1,8 @@
 """Names, canonical values, entities, leaks, mixtures: brute force and planted cases."""
 
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -53,6 +55,24 @@ def test_spellings(spark):
     assert names.link_spellings(df.limit(0).select("spelling")).count() == 0
 
 
+def test_similar_keys_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(names, "DEALT", 7, raising=False)
+    rng = random.Random(4)
+    given = ["ana", "antonio", "joao", "li"]
+    family = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(12)]
+    made = {f"{rng.choice(given)} {rng.choice(family)}{rng.choice(['', 'x', 'ov', 'sky'])}" for _ in range(120)} | {"kizbransent", "kizbransentov"}
+    keys = spark.createDataFrame(list(enumerate(sorted(made))), "id long, key string")
+    grams = {k: {g for w in k.split(" ") for g in [f"#{w}#"[i : i + names.GRAM] for i in range(max(len(w) + 3 - names.GRAM, 1))]} for k in made}
+    df = Counter(g for of in grams.values() for g in of)
+    weight = {g: math.log(1 + len(made) / n) for g, n in df.items()}
+    length = {k: math.sqrt(sum(weight[g] ** 2 for g in of)) for k, of in grams.items()}
+    cosine = {(a, b): sum(weight[g] ** 2 for g in grams[a] & grams[b]) / length[a] / length[b] for a in made for b in made if a < b}
+    got = {(r["key_a"], r["key_b"]): r["cosine"] for r in names.similar_keys(keys).collect()}
+    assert set(got) == {p for p, c in cosine.items() if c >= names.COSINE} and all(abs(got[p] - cosine[p]) < 1e-9 for p in got)
+    linked = {r["key"]: r["class"] for r in names.link_spellings(keys.select(F.col("key").alias("spelling"))).collect()}
+    assert linked["kizbransent"] == linked["kizbransentov"]
+
+
 NOTE = "the quiet producer told Anderson that seventeen musicians recorded inside the lighthouse while Bertram counted every falling leaf beside the frozen canal before sunrise came"
 ITEM = "Read this note.\n\n{}\n\nWhat is asked?"
 

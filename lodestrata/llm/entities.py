@@ -2,7 +2,9 @@
 
 A folder's path is read in the light of the artists known from the releases:
 a word of the path that is (nearly) the family name of an artist class gives
-the artist, what is left of its name after the artist's words, years and
+the artist. Names without a word of their own (short, or borne by many) are
+met by all their words or initials; what is still left by any artist word
+beside a word of a title, which then needs year, counts or number. What is left of its name after the artist's words, years and
 format tags gives the title. Folders and releases of one class whose titles
 are equal, or a slip apart, are candidates; each has a prior from title,
 artist, year, track count, duration and release number.
@@ -36,7 +38,7 @@ from ..session import cut_lineage, spread
 from . import mojibake, names
 from .lookalikes import plain_form
 
-#: Least length of a family name, classes it may stand in, least confidence of a match.
+#: Least length of a family name that tells an artist by itself and classes it may stand in (other names are met by all their words), least confidence.
 FAMILY, FAMILY_CLASSES, CONFIDENCE = 5, 3, 0.5
 #: Rounds of messages at most, the change that ends them, and how much of a message is kept from the round before.
 ROUNDS, STILL, DAMPING = 10, 1e-2, 0.2
@@ -171,8 +173,8 @@ def title_of_folder(last: str, year: int, artist: Known, named: set[str]) -> tup
     return "".join(kept), mark
 
 
-def title_of_release(title: str, artist: Known) -> tuple[str, str, str, str, str]:
-    """The same of a release, the letters that survive where accented ones are lost, and what stays where the last word is cut off."""
+def title_of_release(title: str, artist: Known) -> tuple[str, str, str, str, str, list[str]]:
+    """The same of a release, the letters that survive where accented ones are lost, what stays where the last word is cut off, and the words."""
     kept, mark = title_parts(title)
     kept = [w for w in kept if not artist.near(w) and not (len(w) == 1 and artist.starts(w))]
     bare = "".join(c for c in plain_form(title) if c.isascii())
@@ -180,7 +182,7 @@ def title_of_release(title: str, artist: Known) -> tuple[str, str, str, str, str
     tokens = re.findall(r"[^\W_]+", fold(title))
     short, short_mark = title_parts(" ".join(tokens[:-1])) if len(tokens) > 2 else ([], mark)
     short = [w for w in short if not artist.near(w)]
-    return "".join(kept), mark, lost, "".join(short), short_mark
+    return "".join(kept), mark, lost, "".join(short), short_mark, kept
 
 
 def _read_series(series: pd.Series) -> pd.DataFrame:
@@ -188,12 +190,12 @@ def _read_series(series: pd.Series) -> pd.DataFrame:
     for p in series:
         last, around, year, number, lost = read_path(p)
         both = words(last.replace("_", " ").replace(".", " ").replace("�", "")) + words(around.replace("�", ""))
-        rows.append((last, around, year, number, lost, [w for w in dict.fromkeys(both) if len(w) >= FAMILY - 1 and not w.isdigit()]))
-    return pd.DataFrame(rows, columns=["last", "around", "year", "number", "lost", "tokens"])
+        rows.append((last, around, year, number, lost, [w for w in dict.fromkeys(both) if len(w) >= FAMILY - 1 and not w.isdigit()], list(dict.fromkeys(both))))
+    return pd.DataFrame(rows, columns=["last", "around", "year", "number", "lost", "tokens", "every"])
 
 
 def _read(column: str) -> Column:
-    return F.pandas_udf(_read_series, "struct<last:string,around:string,year:int,number:string,lost:boolean,tokens:array<string>>")(column)
+    return F.pandas_udf(_read_series, "struct<last:string,around:string,year:int,number:string,lost:boolean,tokens:array<string>,every:array<string>>")(column)
 
 
 def artist_classes(releases: DataFrame, spellings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,16 +226,68 @@ def release_nodes(releases: DataFrame, linked: DataFrame, class_words: DataFrame
 
     classes = _Classes()
 
-    @F.pandas_udf("struct<title:string,mark:string,lost:string,short:string,short_mark:string>")
+    @F.pandas_udf("struct<title:string,mark:string,lost:string,short:string,short_mark:string,title_words:array<string>>")
     def read(title: pd.Series, key: pd.Series, of: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([title_of_release(t, classes.of(k, w)) for t, k, w in zip(title, key, of)], columns=["title", "mark", "lost", "short", "short_mark"])
+        return pd.DataFrame([title_of_release(t, classes.of(k, w)) for t, k, w in zip(title, key, of)], columns=["title", "mark", "lost", "short", "short_mark", "title_words"])
 
     read_ = spread(per, "release_id").withColumn("r", read(F.coalesce("title_restored", "title"), "class", "class_words"))
-    return read_.select("release_id", "class", "r.title", "r.mark", "r.lost", "r.short", "r.short_mark", "year", "first_year", "track_count", "duration", "source_release_id")
+    return read_.select("release_id", "class", "r.title", "r.mark", "r.lost", "r.short", "r.short_mark", "r.title_words", "year", "first_year", "track_count", "duration", "source_release_id")
+
+
+def whole_names(linked: DataFrame, class_words: DataFrame) -> DataFrame:
+    """class, need, exactly, pivot: all words of names without a telling word; of any name, a common word of it and the initials of the others."""
+    telling = (F.length("word") >= FAMILY) & (F.col("classes") <= FAMILY_CLASSES)
+    keys = linked.select("class", "key").distinct()
+    of = keys.select("class", "key", F.explode(F.split("key", " ")).alias("word")).join(class_words, ["class", "word"])
+    left = of.groupBy("class", "key").agg(F.max(telling).alias("telling"), F.collect_set(F.when(~telling & (F.length("word") >= 4), F.col("word"))).alias("common"))
+    left = left.withColumn("w", F.array_distinct(F.split("key", " ")))
+    initials = F.transform("common", lambda x: F.array_distinct(F.concat(F.array(x), F.transform(F.filter("w", lambda y: y != x), lambda y: F.substring(y, 1, 1)))))
+    whole = left.where("not telling").select("class", F.col("w").alias("need"), F.lit(1).alias("exactly"))
+    short = left.where("size(w) > 1").select("class", F.explode(initials).alias("need"), F.lit(0).alias("exactly")).distinct()
+    by_length = F.transform(F.slice(F.array_sort(F.transform("need", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 2), lambda x: x["x"])
+    return whole.unionByName(short).withColumn("need", F.array_sort("need")).withColumn("pivot", F.array_join(F.array_sort(by_length), " "))
+
+
+def _named_wholly(read: DataFrame, wholes: DataFrame) -> DataFrame:
+    """album_unit_id, class, exactly, token: folders whose words hold all that a name needs; words and pairs of words meet, never one common word."""
+    wanted = wholes.select(F.explode("need").alias("word")).distinct()
+    near = names.near_words(read.select(F.explode("every").alias("word")).distinct(), wanted).withColumnsRenamed({"word_a": "token", "word_b": "word"})
+    near = near.where((F.col("token") == F.col("word")) | (F.length("token") > FAMILY) & (F.length("word") >= FAMILY))
+    exact = near.where("token = word").select(F.col("token").alias("t")).distinct()
+    near = cut_lineage(near.join(exact, near["token"] == exact["t"], "left").where("t is null or token = word").drop("t"))
+    met = read.select("album_unit_id", F.explode("every").alias("token")).join(near, "token")
+    held = cut_lineage(met.groupBy("album_unit_id").agg(F.array_sort(F.collect_set("word")).alias("held"), F.collect_set(F.struct("word", "token")).alias("as_typed")))
+    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
+    pivots = held.withColumn("pivot", F.explode(F.concat("held", pairs)))
+    found = pivots.join(wholes, "pivot").where(F.size(F.array_except("need", "held")) == 0)
+    typed = F.filter("as_typed", lambda t: F.array_contains(F.col("need"), t["word"]))
+    return found.select("album_unit_id", "class", "exactly", F.explode(typed).alias("t")).select(
+        "album_unit_id", "class", F.when(F.col("t.word") == F.col("t.token"), F.col("exactly")).otherwise(0).alias("exactly"), F.col("t.token").alias("token")
+    )
+
+
+def _named_partly(read: DataFrame, class_words: DataFrame, releases: DataFrame) -> DataFrame:
+    """album_unit_id, class, exactly (-1), token: folders that hold any word of an artist beside one of the two rarest words of a title of theirs."""
+    titles = releases.select("class", "title", "title_words").distinct()
+    split = titles.select("class", "title", F.explode("title_words").alias("title_word"))
+    rare = split.join(split.groupBy("title_word").agg(F.count("*").alias("n")), "title_word").groupBy("class", "title").agg(
+        F.slice(F.array_sort(F.collect_set(F.struct("n", "title_word"))), 1, 2).alias("rare")
+    )
+    rare = cut_lineage(rare.select("class", F.explode("rare.title_word").alias("title_word")).distinct())
+    own = class_words.where((F.length("word") > 2) & ~F.col("word").isin(sorted(names.HONORIFICS))).select("class", "word")
+    tokens = read.select("album_unit_id", F.explode("every").alias("token"))
+    near = names.near_words(tokens.select(F.col("token").alias("word")).distinct(), rare.select(F.col("title_word").alias("word")).distinct())
+    title_tokens = tokens.join(near.withColumnsRenamed({"word_a": "token", "word_b": "title_word"}), "token").withColumnRenamed("token", "title_token")
+    artist_tokens = tokens.join(own.select(F.col("word").alias("token")).distinct(), "token")
+    both = artist_tokens.join(title_tokens, "album_unit_id").where("token <> title_token")
+    return both.join(own.join(rare, "class").withColumnRenamed("word", "token"), ["token", "title_word"]).select("album_unit_id", "class", F.lit(-1).alias("exactly"), "token").distinct()
+
 
+def folder_nodes(units: DataFrame, linked: DataFrame, class_words: DataFrame, restored: DataFrame, releases: DataFrame) -> DataFrame:
+    """album_unit_id, class, title, mark, lost, year, number, tracks, duration of every folder and class it may name.
 
-def folder_nodes(units: DataFrame, class_words: DataFrame, restored: DataFrame) -> DataFrame:
-    """album_unit_id, class, title, mark, lost, year, number, tracks, duration of every folder and class it may name."""
+    named_exactly: 1, 0 where a slip or initials lie between, -1 where only a common word of the artist is named.
+    """
     base = units.select(F.col("id").alias("album_unit_id"), "folder_path", "track_count", F.col("total_duration_ms").alias("duration")).where("folder_path is not null")
     mended = restored.where("kind = 'folder'").select(F.col("id").alias("album_unit_id"), "restored")
     paths = base.join(mended, "album_unit_id", "left").withColumn("path", F.coalesce("restored", "folder_path"))
@@ -247,9 +301,15 @@ def folder_nodes(units: DataFrame, class_words: DataFrame, restored: DataFrame)
     # A token that is itself a family name is no slip of another one.
     near = near.join(exact, near["token"] == exact["t"], "left").where("t is null or token = word").drop("t")
     named = read.select("album_unit_id", F.explode("tokens").alias("token")).join(near, "token").join(families, "word")
-    per = named.groupBy("album_unit_id", "class").agg(F.max((F.col("token") == F.col("word")).cast("int")).alias("named_exactly"), F.collect_set("token").alias("tokens_named"))
+    named = named.select("album_unit_id", "class", (F.col("token") == F.col("word")).cast("int").alias("exactly"), "token")
+    wholly = _named_wholly(read, cut_lineage(whole_names(linked, class_words)))
+    named = cut_lineage(named.unionByName(wholly).unionByName(_named_partly(read, class_words, releases)))
+    level = named.groupBy("album_unit_id", "class").agg(F.max("exactly").alias("named_exactly"))
+    per = named.join(level, ["album_unit_id", "class"]).where("exactly >= 0 or named_exactly < 0").groupBy("album_unit_id", "class").agg(
+        F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.length("token") > 1, F.col("token"))).alias("tokens_named")
+    )
     whole = class_words.groupBy("class").agg(F.array_sort(F.collect_set("word")).alias("class_words"))
-    per = per.join(whole, "class").join(read.drop("tokens"), "album_unit_id")
+    per = per.join(whole, "class").join(read.drop("tokens", "every"), "album_unit_id")
 
     classes = _Classes()
 
@@ -296,7 +356,8 @@ def _prior() -> Column:
     """Log-odds of a pair of rows before exclusion."""
     same_title = (F.col("title") == F.col("r_title")) & (F.col("mark") == F.col("r_mark"))
     title = F.when(F.col("is_short") == 1, -0.4).when(same_title & (F.col("title") != ""), 4.0).when(same_title, 2.5).when(F.col("lost_alike") == 1, 3.0).when(F.col("both_known"), -3.0).otherwise(2.0)
-    artist = F.when(F.col("named_exactly") == 1, 0.5).otherwise(-0.5)
+    # A word that many artists bear is no evidence by itself: title and it need year, counts or number beside them.
+    artist = F.when(F.col("named_exactly") == 1, 0.5).when(F.col("named_exactly") == 0, -0.5).otherwise(-4.6)
     year = F.when((F.col("f_year") == 0) | F.coalesce("r_year", "r_first_year").isNull(), 0.0).when(
         F.least(F.abs(F.col("f_year") - F.coalesce("r_year", "r_first_year")), F.abs(F.col("f_year") - F.coalesce("r_first_year", "r_year"))) <= 1, 0.7
     ).otherwise(-0.5)
@@ -352,25 +413,30 @@ def match(units: DataFrame, releases: DataFrame, spellings: DataFrame, known: Da
     )
     restored = cut_lineage(mojibake.restore(texts, "text", ["kind", "id"]).select("kind", "id", "restored"))
     rs = cut_lineage(release_nodes(releases, linked, class_words, restored))
-    fs = cut_lineage(folder_nodes(units, class_words, restored))
+    fs = cut_lineage(folder_nodes(units, linked, class_words, restored, rs))
     titles = cut_lineage(candidates(fs, rs))
+    # A folder that names an artist with a title of theirs isn't asked for others by common words; one that doesn't is a node by itself.
+    settled = fs.where("named_exactly >= 0").join(titles.select("class", "mark", "title").distinct(), ["class", "mark", "title"]).select("album_unit_id").distinct()
+    partly = fs.where("named_exactly < 0").join(settled, "album_unit_id", "left_anti")
+    fs = fs.where("named_exactly >= 0").unionByName(partly).withColumn("alone", F.when(F.col("named_exactly") < 0, F.col("album_unit_id")))
+    fs = cut_lineage(fs)
     # Nodes: a folder reading and a release reading, with their best evidence; exclusion is between titles of one class.
-    f = fs.select("class", "mark", "title", F.col("year").alias("f_year"), F.col("track_count").alias("f_tracks"), F.col("number").alias("f_number"), "named_exactly")
-    f = f.groupBy("class", "mark", "title").agg(
+    f = fs.select("class", "mark", "title", F.col("year").alias("f_year"), F.col("track_count").alias("f_tracks"), F.col("number").alias("f_number"), "named_exactly", "alone")
+    f = f.groupBy("class", "mark", "title", "alone").agg(
         F.max("named_exactly").alias("named_exactly"), F.max("f_year").alias("f_year"), F.max("f_number").alias("f_number"), F.expr("percentile(f_tracks, 0.5)").alias("f_tracks")
     )
     r = rs.groupBy("class", F.col("mark").alias("r_mark"), F.col("title").alias("r_title")).agg(
         F.min("year").alias("r_year"), F.min("first_year").alias("r_first_year"), F.expr("percentile(track_count, 0.5)").alias("r_tracks"),
         F.max("source_release_id").alias("source_release_id"),
     )
-    key = [F.col("class").cast("string"), F.col("mark")]
+    left = F.coalesce(F.concat(F.lit("?/"), F.col("alone").cast("string")), F.concat_ws("/", F.col("class").cast("string"), "mark", "title"))
     right = F.concat_ws("/", F.col("class").cast("string"), "r_mark", "r_title")
-    sure = (F.col("is_known") | (F.col("title") == F.col("r_title"))) & (F.col("is_short") == 0)
+    sure = (F.col("is_known") | (F.col("title") == F.col("r_title"))) & (F.col("is_short") == 0) & F.col("alone").isNull()
     edges = titles.join(f, ["class", "mark", "title"]).join(r, ["class", "r_mark", "r_title"]).select(
-        F.concat_ws("/", *key, "title").alias("left"), right.alias("right"), sure.alias("left_sure"), _prior().alias("prior")
+        left.alias("left"), right.alias("right"), sure.alias("left_sure"), _prior().alias("prior")
     )
     held = propagate(edges).where(F.col("confidence") >= CONFIDENCE)
-    fk = fs.select("album_unit_id", F.concat_ws("/", *key, "title").alias("left"))
-    rk = rs.select("release_id", F.concat_ws("/", *key, "title").alias("right"))
+    fk = fs.select("album_unit_id", left.alias("left")).distinct()
+    rk = rs.select("release_id", F.concat_ws("/", F.col("class").cast("string"), "mark", "title").alias("right"))
     found = held.join(fk, "left").join(rk, "right")
     return found.groupBy("album_unit_id", "release_id").agg(F.max("confidence").alias("confidence"))

@@ -140,3 +140,18 @@ def test_same_album(spark):
     known = spark.createDataFrame([], "spelling_a string, spelling_b string")
     got = {(r["album_unit_id"], r["release_id"]) for r in entities.match(units, releases, spellings, known).collect()}
     assert got == {(u, r) for u in (1, 2, 4, 8) for r in (1, 2)} | {(3, 3), (6, 4), (9, 5)}
+
+
+def test_artists_without_a_rare_word(spark):
+    albums = [("Águas Vivas", "Gal Costa"), ("Noite Azul", "Ana Costa"), ("Rio Manso", "Rui Costa"), ("Serra Alta", "Leonor Costa"), ("Ring Song", "Abba"), ("Serra Alta", "Ana Kim")]
+    payload = '{{"artists": [{{"name": "{}", "credited_as": null}}], "tracks": []}}'
+    rows = [(i, "discogs", str(i), t, a, "1999", None, 9, payload.format(a)) for i, (t, a) in enumerate(albums, 1)]
+    releases = spark.createDataFrame(rows, _releases(spark).schema)
+    paths = {
+        1: "/m/Gal Costa - Águas Vivas", 2: "/m/Costa - Noite Azul (1999)", 3: "/m/Rui Costa/1999 - Rio Manso [FLAC]", 4: "/m/L. Costa/Serra Alta", 5: "/m/Abba - Ring Song (1999)",
+        6: "/m/Ana Kim - Serra Alta", 7: "/m/Costa - Rio Branco (1999)", 8: "/m/Ana Zupkovic - Rio Manso",
+    }
+    units = spark.createDataFrame([(i, p, 9, 1000) for i, p in paths.items()], "id long, folder_path string, track_count int, total_duration_ms long")
+    known = spark.createDataFrame([], "spelling_a string, spelling_b string")
+    found = entities.match(units, releases, releases.select(F.col("primary_artist").alias("spelling")), known)
+    assert {(r["album_unit_id"], r["release_id"]) for r in found.collect()} == {(i, i) for i in range(1, 7)}

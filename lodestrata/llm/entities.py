@@ -12,7 +12,8 @@ artist, year, track count, duration and release number.
 Candidates of different albums exclude each other: a folder is one album, and
 an album that some folder names exactly isn't the one a folder of another
 known title means. Loopy belief propagation passes messages between these
-one-to-one factors by joins until nothing moves; the marginal probability is
+one-to-one factors by joins until nothing moves (a warning tells if that
+doesn't come about); the marginal probability is
 the confidence of the match.
 
 Rows with equal path reading or equal release are folded into one node before,
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from functools import lru_cache
 
 import pandas as pd
@@ -40,8 +42,8 @@ from .lookalikes import plain_form
 
 #: Least length of a family name that tells an artist by itself and classes it may stand in (other names are met by all their words), least confidence.
 FAMILY, FAMILY_CLASSES, CONFIDENCE = 5, 3, 0.5
-#: Rounds of messages at most, the change that ends them, and how much of a message is kept from the round before.
-ROUNDS, STILL, DAMPING = 10, 1e-2, 0.2
+#: Rounds of messages after which a warning tells that they didn't settle, the change that ends them, and how much of a message is kept from the round before.
+ROUNDS, STILL, DAMPING = 500, 1e-3, 0.3
 
 # Words that stand beside titles and don't belong to them.
 _FORMATS = set("flac mp3 wav ape aac m4a ogg alac web vinyl lp cd rip 320 v0 24 96 192 16 44 copy cd1 cd2 cd3 cd4 id".split())
@@ -214,7 +216,7 @@ def release_nodes(releases: DataFrame, linked: DataFrame, class_words: DataFrame
         F.col("id").alias("release_id"), "title", "track_count", "source_release_id",
         F.substring(F.coalesce("original_released_on", "released_on"), 1, 4).try_cast("int").alias("first_year"),
         F.substring("released_on", 1, 4).try_cast("int").alias("year"),
-        F.aggregate(F.coalesce("p.tracks", F.array()), F.lit(0).cast("bigint"), lambda s, t: s + F.coalesce(t["duration_ms"], F.lit(0))).alias("duration"),
+        F.when(F.size("p.tracks") > 0, F.aggregate("p.tracks", F.lit(0).cast("bigint"), lambda s, t: s + t["duration_ms"])).alias("duration"),
         F.array_distinct(F.array_compact(F.concat(
             F.array("primary_artist"), F.coalesce(F.flatten(F.transform("p.artists", lambda a: F.array(a["name"], a["credited_as"]))), F.array())))).alias("artists"),
     )
@@ -358,12 +360,16 @@ def _prior() -> Column:
     title = F.when(F.col("is_short") == 1, -0.4).when(same_title & (F.col("title") != ""), 4.0).when(same_title, 2.5).when(F.col("lost_alike") == 1, 3.0).when(F.col("both_known"), -3.0).otherwise(2.0)
     # A word that many artists bear is no evidence by itself: title and it need year, counts or number beside them.
     artist = F.when(F.col("named_exactly") == 1, 0.5).when(F.col("named_exactly") == 0, -0.5).otherwise(-4.6)
-    year = F.when((F.col("f_year") == 0) | F.coalesce("r_year", "r_first_year").isNull(), 0.0).when(
-        F.least(F.abs(F.col("f_year") - F.coalesce("r_year", "r_first_year")), F.abs(F.col("f_year") - F.coalesce("r_first_year", "r_year"))) <= 1, 0.7
-    ).otherwise(-0.5)
+    def agree(left: str, right: str, alike, yes: float, no: float) -> Column:
+        """Evidence of two sets of values: for the pair if any two are alike, none if a set is empty."""
+        met = F.exists(left, lambda x: F.exists(right, lambda y: alike(x, y)))
+        return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).when(met, yes).otherwise(no)
+
+    year = agree("f_years", "r_years", lambda x, y: F.abs(x - y) <= 1, 0.7, -0.5)
+    duration = agree("f_durations", "r_durations", lambda x, y: F.abs(x - y) <= 0.05 * F.greatest(x, y), 0.5, -0.3)
     count = F.when(F.col("f_tracks").isNull() | F.col("r_tracks").isNull(), 0.0).when(F.abs(F.col("f_tracks") - F.col("r_tracks")) <= 2, 0.5).otherwise(-0.3)
-    number = F.when((F.col("f_number") != "") & (F.col("f_number") == F.col("source_release_id")), 2.0).otherwise(0.0)
-    return title + artist + year + count + number
+    number = agree("f_numbers", "r_ids", lambda x, y: x == y, 2.0, 0.0)
+    return title + artist + year + count + duration + number
 
 
 def propagate(edges: DataFrame) -> DataFrame:
@@ -398,8 +404,11 @@ def propagate(edges: DataFrame) -> DataFrame:
         new = new.select("left", "right", "left_sure", "prior", F.col("new_left").alias("from_left"), F.col("new_right").alias("from_right"), moved.alias("moved"))
         new = cut_lineage(new)
         now = new.drop("moved")
-        if (new.agg(F.max("moved")).first()[0] or 0.0) < STILL:
+        last = new.agg(F.max("moved")).first()[0] or 0.0
+        if last < STILL:
             break
+    else:
+        warnings.warn(f"belief propagation moved by {last} after {ROUNDS} rounds", RuntimeWarning, stacklevel=2)
     free = touched.where("not in_play").select("left", "right", F.col("prior").alias("odds"))
     settled = now.select("left", "right", (F.col("prior") + F.col("from_left") + F.col("from_right")).alias("odds")).unionByName(free)
     return settled.select("left", "right", (1 / (1 + F.exp(-F.col("odds")))).alias("confidence"))
@@ -421,13 +430,14 @@ def match(units: DataFrame, releases: DataFrame, spellings: DataFrame, known: Da
     fs = fs.where("named_exactly >= 0").unionByName(partly).withColumn("alone", F.when(F.col("named_exactly") < 0, F.col("album_unit_id")))
     fs = cut_lineage(fs)
     # Nodes: a folder reading and a release reading, with their best evidence; exclusion is between titles of one class.
-    f = fs.select("class", "mark", "title", F.col("year").alias("f_year"), F.col("track_count").alias("f_tracks"), F.col("number").alias("f_number"), "named_exactly", "alone")
+    f = fs.select("class", "mark", "title", "year", "duration", F.col("track_count").alias("f_tracks"), "number", "named_exactly", "alone")
     f = f.groupBy("class", "mark", "title", "alone").agg(
-        F.max("named_exactly").alias("named_exactly"), F.max("f_year").alias("f_year"), F.max("f_number").alias("f_number"), F.expr("percentile(f_tracks, 0.5)").alias("f_tracks")
+        F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.col("year") > 0, F.col("year"))).alias("f_years"),
+        F.collect_set(F.when(F.col("number") != "", F.col("number"))).alias("f_numbers"), F.collect_set("duration").alias("f_durations"), F.expr("percentile(f_tracks, 0.5)").alias("f_tracks")
     )
     r = rs.groupBy("class", F.col("mark").alias("r_mark"), F.col("title").alias("r_title")).agg(
-        F.min("year").alias("r_year"), F.min("first_year").alias("r_first_year"), F.expr("percentile(track_count, 0.5)").alias("r_tracks"),
-        F.max("source_release_id").alias("source_release_id"),
+        F.array_union(F.collect_set("year"), F.collect_set("first_year")).alias("r_years"), F.expr("percentile(track_count, 0.5)").alias("r_tracks"),
+        F.collect_set("source_release_id").alias("r_ids"), F.collect_set("duration").alias("r_durations"),
     )
     left = F.coalesce(F.concat(F.lit("?/"), F.col("alone").cast("string")), F.concat_ws("/", F.col("class").cast("string"), "mark", "title"))
     right = F.concat_ws("/", F.col("class").cast("string"), "r_mark", "r_title")

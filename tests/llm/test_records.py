@@ -155,3 +155,26 @@ def test_artists_without_a_rare_word(spark):
     known = spark.createDataFrame([], "spelling_a string, spelling_b string")
     found = entities.match(units, releases, releases.select(F.col("primary_artist").alias("spelling")), known)
     assert {(r["album_unit_id"], r["release_id"]) for r in found.collect()} == {(i, i) for i in range(1, 7)}
+
+
+def test_messages_settle(spark):
+    pairs = [(i, j) for i in range(9) for j in (i, i + 1)]
+    prior = {p: 3.0 for p in pairs}
+    to = {p: (0.0, 0.0) for p in pairs}
+    for _ in range(400):
+        up = {p: (math.exp(prior[p] + to[p][1]), math.exp(prior[p] + to[p][0])) for p in pairs}
+        to = {(i, j): tuple(0.5 * old - 0.5 * math.log1p(sum(up[q][k] for q in pairs if q != (i, j) and q[k] == (i, j)[k])) for k, old in enumerate(to[i, j])) for i, j in pairs}
+    wanted = {p: 1 / (1 + math.exp(-(prior[p] + sum(to[p])))) for p in pairs}
+    edges = spark.createDataFrame([(str(i), str(j), True, prior[i, j]) for i, j in pairs], "left string, right string, left_sure boolean, prior double")
+    got = {(int(r["left"]), int(r["right"])): r["confidence"] for r in entities.propagate(edges).collect()}
+    assert set(got) == set(wanted) and max(abs(got[p] - wanted[p]) for p in pairs) < 2e-3
+
+
+def test_evidence_of_nodes(spark):
+    row = dict(title="x", r_title="x", mark="", r_mark="", is_short=0, lost_alike=0, both_known=False, named_exactly=1, f_tracks=None, r_tracks=None)
+    sets = dict(f_years=[1970, 1999], r_years=[1971, 2010], f_numbers=["5"], r_ids=["5", "9"], f_durations=[1_000_000], r_durations=[1_010_000, 2_000_000])
+    kind = "title string, r_title string, mark string, r_mark string, is_short int, lost_alike int, both_known boolean, named_exactly int, f_tracks double, r_tracks double, "
+    kind += "f_years array<int>, r_years array<int>, f_numbers array<string>, r_ids array<string>, f_durations array<long>, r_durations array<long>"
+    cases = [sets, {**sets, "f_durations": [1_500_000]}, {**sets, "f_durations": [], "r_ids": ["9"]}]
+    df = spark.createDataFrame([tuple({**row, **c}.values()) for c in cases], kind)
+    assert [round(r[0], 6) for r in df.select(entities._prior()).collect()] == [7.7, 6.9, 5.2]

@@ -205,6 +205,7 @@ class Reference:
         self.names = names
         ordered = sorted(names)
         self.trees = [BKTree(ordered[i : i + SHARD]) for i in range(0, len(ordered), SHARD)]
+        self.longest = max(map(len, ordered), default=0)
         self.kept: dict[str, int] = {}
 
     def meant(self, value: str) -> int:
@@ -219,8 +220,9 @@ class Reference:
                 return next(iter(ids))
         best: dict[int, set[tuple[int, str]]] = {}
         for form in forms:
-            most = next(k for length, k in SLIPS if len(form) <= length)
-            if most:
+            most = next((k for length, k in SLIPS if len(form) <= length), SLIPS[-1][1])
+            # A form longer than every name by more than the slips is near none.
+            if most and len(form) <= self.longest + most:
                 for tree in self.trees:
                     for d, name in tree.within(form, most):
                         # Short names take no slip; neither does a name that would lose a third of itself.

@@ -42,6 +42,11 @@ def test_typed_values(spark):
     assert canonical.map_values(canonical.typed_values(df.limit(0), "id"), ref).count() == 0
 
 
+def test_very_long_typed_values():
+    of = canonical.Reference({"brazil": {(9, "Brazil")}})
+    assert of.meant("x" * 10_001) == of.meant("brazil " * 30_000) == -1 and of.meant("brazol") == 9
+
+
 def test_spellings(spark):
     same = [
         ["Antônio Fútrerjiv", "Fútrerjiv, Antônio", "ANTONIO FUTRERJIV", "A. Fútrerjiv", "Antônio Fútrersiv", "Tonho Fútrerjiv", "Maestro Antônio Fútrerjiv"],

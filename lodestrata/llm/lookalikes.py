@@ -56,11 +56,6 @@ _SPACE = re.compile("[   -     　\t\r\n]")
 #: What may be unstable: marks and anything with a compatibility form of its width, font or ligature.
 _WORD = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
 _REPLACED_KINDS = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
-#: Suspicious to the JVM: anything but the characters that no rule can change.
-SUSPICIOUS = r"[^\x20-\x7e¡-¬®-ʯ–—‘’‚“”„…′″⅓⅔⅛™€]"
-_SUSPICIOUS = re.compile(SUSPICIOUS)
-
-
 def _compatible(c: str) -> bool:
     """Whether the character is one of width, font or ligature only."""
     kind = unicodedata.decomposition(c)
@@ -69,6 +64,17 @@ def _compatible(c: str) -> bool:
     return kind.startswith("<compat>") and unicodedata.category(c) in ("Ll", "Lu", "Lo") and c not in "ŀĿŉ"
 
 
+def _suspicious() -> str:
+    """Anything but the Latin letters and signs that no rule above can change."""
+    kept = [c for c in map(chr, [*range(0xA1, 0xAD), *range(0xAE, 0x2B0)]) if c not in _TO_LATIN and not _compatible(c) and unicodedata.is_normalized("NFC", c)]
+    return rf"[^\x20-\x7e{''.join(kept)}–—‘’‚“”„…′″⅓⅔⅛™€]"
+
+
+#: Suspicious to the JVM.
+SUSPICIOUS = _suspicious()
+_SUSPICIOUS = re.compile(SUSPICIOUS)
+
+
 def _segments(text: str) -> Iterator[tuple[int, int, str]]:
     """The unstable segments: start, end, canonical form."""
     i, n = 0, len(text)
@@ -93,6 +99,10 @@ def _own_script(word: str, context: Counter) -> str | None:
         return None
     if len(scripts) == 1:
         (only,) = scripts
+        if only == "LATIN":
+            # Phonetic letters that pass for plain ones, but for words that are phonetic writing.
+            phonetic = [c for c in word if "ɐ" <= c <= "ʯ"]
+            return only if phonetic and all(c in _TO_LATIN for c in phonetic) else None
         alike = only in ("CYRILLIC", "GREEK") and not bound
         return "LATIN" if alike and context["LATIN"] and not context[only] else None
     if bound:

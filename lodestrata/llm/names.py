@@ -7,23 +7,23 @@ a pair at or above the cosine threshold can first meet, yields all similar
 pairs. Each is then checked word by word: typos, initials, cut words
 and joined words agree; two words left over on both sides agree if they do so
 beside many different family names (nicknames, translated words, learned from
-the data). Checked links are grouped by average linkage.
+the data). Checked links are grouped by average linkage on their cosines.
 
 No number of partners is capped: in place of a top n the threshold decides,
 since a name may have any number of spellings.
 
 Defined results: null or empty spellings, and such without letters, have no
 partner; equal strings count once; ties in linkage go to the smaller key.
-Components above MAX_LINKAGE keys stay whole, without linkage.
+Components of more than IN_TASK links are linked by joins, with the same outcome.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import cut_lineage, spread
 
-#: Length of grams, least cosine of a candidate, least average similarity within a group, largest component for linkage.
-GRAM, COSINE, LINKAGE, MAX_LINKAGE = 4, 0.4, 0.3, 3_000
+#: Length of grams, least cosine of a candidate, least average cosine within a group, links of a component that one task links (more are linked by joins).
+GRAM, COSINE, LINKAGE, IN_TASK = 4, 0.4, 0.14, 50_000
 #: Family names beside which two words must stand for each other, the share of the rarer word's occurrences, and how few
 #: other words a word stands beside to be called rare.
 SUPPORT, SUPPORT_SHARE, RARE = 2, 0.25, 3
@@ -248,7 +248,7 @@ def checked_links(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # A word hardly seen elsewhere can't be told to be another name; it follows the family name.
     rare = F.least("degree_u", "degree_v") <= RARE
     held = judged.where(F.coalesce("said", F.lit(False)) | learned | F.col("is_family") & (rare | (F.col("verdict") == "likely")))
-    return checked.where("verdict = 'yes'").select("a", "b", "cosine").unionByName(held.select("a", "b", "cosine"))
+    return checked.where("verdict = 'yes'").select("a", "b", "cosine").unionByName(held.select("a", "b", "cosine")).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def _said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,36 +257,83 @@ def _said(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([f[1:3] for f in found if f[0] in ("open", "likely")], columns=["u", "v"], dtype=str)
 
 
-def _linkage(links: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage within one component."""
-    nodes = sorted(set(links["a"]) | set(links["b"]))
-    component = links["component"].iloc[0]
-    if len(nodes) > MAX_LINKAGE or len(nodes) == 2:
-        return pd.DataFrame({"id": nodes, "class": [component] * len(nodes)})
-    at = {n: i for i, n in enumerate(nodes)}
-    sums = np.zeros((len(nodes), len(nodes)))
-    for a, b in zip(links["a"], links["b"]):
-        sums[at[a], at[b]] = sums[at[b], at[a]] = 1.0
-    size = np.ones(len(nodes))
-    group = np.arange(len(nodes))
-    mean = sums.copy()
+def average_linkage(links: Iterable[tuple[int, int, float]], least: float = LINKAGE) -> dict[int, int]:
+    """node -> class of one component: the two groups with the greatest mean similarity are joined until none reaches `least`.
+
+    Pairs without a link have similarity 0. The class is the least node of its
+    group; of equal means the pair with the smaller nodes comes first.
+    """
+    sums: dict[int, dict[int, float]] = {}
+    for a, b, w in links:
+        sums.setdefault(a, {})[b] = w
+        sums.setdefault(b, {})[a] = w
+    members = {n: [n] for n in sums}
+    heap = [(-w, a, b) for a, of in sums.items() for b, w in of.items() if a < b]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= least:
+        mean, a, b = heapq.heappop(heap)
+        if a not in members or b not in members or sums[a].get(b, 0.0) / (len(members[a]) * len(members[b])) != -mean:
+            continue
+        members[a] += members.pop(b)
+        of, other = sums[a], sums.pop(b)
+        del of[b], other[a]
+        for c, w in other.items():
+            del sums[c][b]
+            of[c] = sums[c][a] = of.get(c, 0.0) + w
+        for c, w in of.items():
+            heapq.heappush(heap, (-(w / (len(members[a]) * len(members[c]))), min(a, c), max(a, c)))
+    return {n: a for a, of in members.items() for n in of}
+
+
+def _linkage(a: pd.Series, b: pd.Series, w: pd.Series) -> pd.Series:
+    """Average linkage within components, each a row of arrays."""
+    return pd.Series([list(average_linkage(zip(x.tolist(), y.tolist(), z.tolist())).items()) for x, y, z in zip(a, b, w)], dtype=object)
+
+
+def _spread_linkage(links: DataFrame) -> DataFrame:
+    """id, class: the same linkage for components too large for one task.
+
+    Two groups that are each other's nearest are joined at once, all such
+    pairs in one round of aggregations and joins; since a mean of means never
+    exceeds the greater one, the outcome is that of joining one pair after the
+    other. Rounds end when no two groups reach LINKAGE.
+    """
+    nodes = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    labels = cut_lineage(nodes.select("id", F.col("id").alias("class")))
+    edges = cut_lineage(links.select("a", "b", F.col("cosine").alias("w")))
     while True:
-        i, j = divmod(int(mean.argmax()), len(nodes))
-        if mean[i, j] < LINKAGE or i == j:
-            break
-        i, j = min(i, j), max(i, j)
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        sums[j] = sums[:, j] = 0
-        sums[i, i] = 0
-        size[i] += size[j]
-        group[group == j] = i
-        alive = np.flatnonzero(size)
-        mean[j] = mean[:, j] = 0
-        mean[i, alive] = mean[alive, i] = sums[i, alive] / (size[i] * size[alive])
-        mean[i, i] = 0
-        size[j] = 1e-9
-    return pd.DataFrame({"id": nodes, "class": [nodes[g] for g in group]})
+        sizes = labels.groupBy("class").agg(F.count("*").alias("n"))
+        held = edges.join(sizes.withColumnsRenamed({"class": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"class": "b", "n": "n_b"}), "b")
+        near = cut_lineage(held.select("a", "b", (F.col("w") / (F.col("n_a") * F.col("n_b"))).alias("mean")).where(F.col("mean") >= LINKAGE))
+        rank = F.struct("mean", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))
+        both = near.select(F.col("a").alias("g"), rank.alias("r")).unionByName(near.select(F.col("b").alias("g"), rank.alias("r")))
+        best = both.groupBy("g").agg(F.max("r").alias("r")).select("g", (-F.col("r.x")).alias("a"), (-F.col("r.y")).alias("b"))
+        joined = cut_lineage(best.groupBy("a", "b").agg(F.count("*").alias("k")).where("k = 2").select("a", "b"))
+        if joined.isEmpty():
+            return labels
+        into = joined.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        labels = cut_lineage(labels.join(into, labels["class"] == into["old"], "left").select("id", F.coalesce("new", "class").alias("class")))
+        moved = edges.join(into.withColumnsRenamed({"old": "a", "new": "a2"}), "a", "left").join(into.withColumnsRenamed({"old": "b", "new": "b2"}), "b", "left")
+        moved = moved.select(F.coalesce("a2", "a").alias("x"), F.coalesce("b2", "b").alias("y"), "w").where("x <> y")
+        edges = cut_lineage(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def linked_classes(links: DataFrame) -> DataFrame:
+    """id, class of every key that has a link (a, b, cosine): average linkage within connected components."""
+    parts = connected_components(links, "a", "b").withColumnsRenamed({"node": "a"})
+    placed = cut_lineage(links.join(parts, "a"))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
+    small, large = sizes.where(F.col("n") <= IN_TASK), sizes.where(F.col("n") > IN_TASK)
+    lists = placed.join(small.where("n > 1").select("component"), "component", "left_semi").groupBy("component").agg(F.collect_list(F.struct("a", "b", "cosine")).alias("of"))
+    arrays = spread(lists, "component").select("of.a", "of.b", "of.cosine")
+    grouped = F.pandas_udf(_linkage, "array<struct<id:bigint,class:bigint>>")("a", "b", "cosine")
+    out = arrays.select(F.inline(grouped))
+    # A component of one link needs no linkage: a cosine at or above COSINE reaches LINKAGE.
+    lone = placed.join(small.where("n = 1").select("component"), "component", "left_semi")
+    out = out.unionByName(lone.select(F.inline(F.array(*[F.struct(F.col(c).alias("id"), F.least("a", "b").alias("class")) for c in "ab"]))))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_spread_linkage(placed.join(large.select("component"), "component", "left_semi").select("a", "b", "cosine")))
 
 
 def link_spellings(spellings: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -302,9 +349,7 @@ def link_spellings(spellings: DataFrame, known: DataFrame | None = None) -> Data
         known = known.where("spelling_a <> spelling_b").distinct().select(key("spelling_a").alias("key_a"), key("spelling_b").alias("key_b"))
         known = known.where("key_a <> '' and key_b <> '' and key_a <> key_b").distinct()
     links = cut_lineage(checked_links(keys, known))
-    parts = connected_components(links, "a", "b").withColumnsRenamed({"node": "a"})
-    classes = spread(links.join(parts, "a"), "component").groupBy("component").applyInPandas(_linkage, "id bigint, class bigint")
-    keyed = different.withColumn("id", F.xxhash64("key")).join(classes, "id", "left")
+    keyed = different.withColumn("id", F.xxhash64("key")).join(linked_classes(links), "id", "left")
     return keyed.select("spelling", "key", F.coalesce("class", "id").alias("class"))
 
 

@@ -78,6 +78,32 @@ def test_similar_keys_against_all_pairs(spark, monkeypatch):
     assert linked["kizbransent"] == linked["kizbransentov"]
 
 
+def test_linkage_in_task_and_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    links = {}
+    for part in range(6):
+        for _ in range(rng.randint(1, 40)):
+            a, b = sorted(rng.sample(range(part * 100, part * 100 + rng.randint(3, 14)), 2))
+            links[a, b] = rng.uniform(0.4, 1)
+
+    def slow(of):
+        groups = {n: {n} for p in of for n in p}
+        while True:
+            means = {(x, y): sum(of.get((min(a, b), max(a, b)), 0) for a in groups[x] for b in groups[y]) / len(groups[x]) / len(groups[y]) for x in groups for y in groups if x < y}
+            best = max(means, key=means.get, default=None)
+            if best is None or means[best] < names.LINKAGE:
+                return {n: x for x, of in groups.items() for n in of}
+            groups[best[0]] |= groups.pop(best[1])
+
+    wanted = slow(links)
+    assert names.average_linkage((a, b, w) for (a, b), w in links.items()) == wanted
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "a long, b long, cosine double")
+    for most in (50_000, 2):
+        monkeypatch.setattr(names, "IN_TASK", most)
+        got = [tuple(r) for r in names.linked_classes(df).select("id", "class").collect()]
+        assert sorted(got) == sorted(wanted.items())
+
+
 NOTE = "the quiet producer told Anderson that seventeen musicians recorded inside the lighthouse while Bertram counted every falling leaf beside the frozen canal before sunrise came"
 ITEM = "Read this note.\n\n{}\n\nWhat is asked?"
 

@@ -1,13 +1,17 @@
 """Folders and releases that are the same album, without a common key.
 
-A folder's path is read in the light of the artists known from the releases:
-a word of the path that is (nearly) the family name of an artist class gives
-the artist. Names without a word of their own (short, or borne by many) are
-met by all their words or initials; what is still left by any artist word
-beside a word of a title, which then needs year, counts or number. What is left of its name after the artist's words, years and
-format tags gives the title. Folders and releases of one class whose titles
-are equal, or a slip apart, are candidates; each has a prior from title,
-artist, year, track count, duration and release number.
+A folder's path is read in the light of the artists known from the releases.
+Its words meet the words of artists and titles, equal or a slip apart, and
+each artist class offers keys to be found by: a word that few classes bear,
+two words of one name (or a word and an initial), and any commoner word
+together with the two rarest words of one of its titles. The last is weak: it
+needs year, counts or number beside the title. What is left of the folder's
+name after the artist's words, years and format tags gives the title.
+
+Release titles of one class that are slips of each other, but for titles that
+several artists use, are one album. Folders and albums of one class whose
+titles are equal, a slip apart or cut short are candidates; each has a prior
+from title, artist, year, track count, duration and release number.
 
 Candidates of different albums exclude each other: a folder is one album, and
 an album that some folder names exactly isn't the one a folder of another
@@ -40,8 +44,8 @@ from ..session import cut_lineage, spread
 from . import mojibake, names
 from .lookalikes import plain_form
 
-#: Least length of a family name that tells an artist by itself and classes it may stand in (other names are met by all their words), least confidence.
-FAMILY, FAMILY_CLASSES, CONFIDENCE = 5, 3, 0.5
+#: Classes in which a word may stand to be a key by itself (commoner ones are keys beside other words), letters of a word that may hold a slip, least confidence.
+TELLING, LONG, CONFIDENCE = 3, 5, 0.5
 #: Rounds of messages after which a warning tells that they didn't settle, the change that ends them, and how much of a message is kept from the round before.
 ROUNDS, STILL, DAMPING = 500, 1e-3, 0.3
 
@@ -192,15 +196,28 @@ def _read_series(series: pd.Series) -> pd.DataFrame:
     for p in series:
         last, around, year, number, lost = read_path(p)
         both = words(last.replace("_", " ").replace(".", " ").replace("�", "")) + words(around.replace("�", ""))
-        rows.append((last, around, year, number, lost, [w for w in dict.fromkeys(both) if len(w) >= FAMILY - 1 and not w.isdigit()], list(dict.fromkeys(both))))
-    return pd.DataFrame(rows, columns=["last", "around", "year", "number", "lost", "tokens", "every"])
+        rows.append((last, around, year, number, lost, list(dict.fromkeys(both))))
+    return pd.DataFrame(rows, columns=["last", "around", "year", "number", "lost", "every"])
 
 
 def _read(column: str) -> Column:
-    return F.pandas_udf(_read_series, "struct<last:string,around:string,year:int,number:string,lost:boolean,tokens:array<string>,every:array<string>>")(column)
+    return F.pandas_udf(_read_series, "struct<last:string,around:string,year:int,number:string,lost:boolean,every:array<string>>")(column)
 
 
-def artist_classes(releases: DataFrame, spellings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _lost_series(series: pd.Series) -> pd.Series:
+    """Of the words of a spelling that hold accented letters: what is left without these, and the word."""
+    out = []
+    for spelling in series:
+        found = []
+        for raw in re.findall(r"[^\W_]+", spelling):
+            left, whole = "".join(c for c in raw if c.isascii()).lower(), words(raw)
+            if len(left) > 2 and whole and left != whole[0]:
+                found.append((left, whole[0]))
+        out.append(found)
+    return pd.Series(out, dtype=object)
+
+
+def artist_classes(spellings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """spelling -> class, and the words of each class with the number of classes that hold the word."""
     linked = cut_lineage(names.link_spellings(spellings, known))
     of = linked.select("class", F.explode(F.split("key", " ")).alias("word")).distinct()
@@ -236,53 +253,76 @@ def release_nodes(releases: DataFrame, linked: DataFrame, class_words: DataFrame
     return read_.select("release_id", "class", "r.title", "r.mark", "r.lost", "r.short", "r.short_mark", "r.title_words", "year", "first_year", "track_count", "duration", "source_release_id")
 
 
-def whole_names(linked: DataFrame, class_words: DataFrame) -> DataFrame:
-    """class, need, exactly, pivot: all words of names without a telling word; of any name, a common word of it and the initials of the others."""
-    telling = (F.length("word") >= FAMILY) & (F.col("classes") <= FAMILY_CLASSES)
-    keys = linked.select("class", "key").distinct()
-    of = keys.select("class", "key", F.explode(F.split("key", " ")).alias("word")).join(class_words, ["class", "word"])
-    left = of.groupBy("class", "key").agg(F.max(telling).alias("telling"), F.collect_set(F.when(~telling & (F.length("word") >= 4), F.col("word"))).alias("common"))
-    left = left.withColumn("w", F.array_distinct(F.split("key", " ")))
-    initials = F.transform("common", lambda x: F.array_distinct(F.concat(F.array(x), F.transform(F.filter("w", lambda y: y != x), lambda y: F.substring(y, 1, 1)))))
-    whole = left.where("not telling").select("class", F.col("w").alias("need"), F.lit(1).alias("exactly"))
-    short = left.where("size(w) > 1").select("class", F.explode(initials).alias("need"), F.lit(0).alias("exactly")).distinct()
-    by_length = F.transform(F.slice(F.array_sort(F.transform("need", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), 1, 2), lambda x: x["x"])
-    return whole.unionByName(short).withColumn("need", F.array_sort("need")).withColumn("pivot", F.array_join(F.array_sort(by_length), " "))
-
-
-def _named_wholly(read: DataFrame, wholes: DataFrame) -> DataFrame:
-    """album_unit_id, class, exactly, token: folders whose words hold all that a name needs; words and pairs of words meet, never one common word."""
-    wanted = wholes.select(F.explode("need").alias("word")).distinct()
-    near = names.near_words(read.select(F.explode("every").alias("word")).distinct(), wanted).withColumnsRenamed({"word_a": "token", "word_b": "word"})
-    near = near.where((F.col("token") == F.col("word")) | (F.length("token") > FAMILY) & (F.length("word") >= FAMILY))
-    exact = near.where("token = word").select(F.col("token").alias("t")).distinct()
-    near = cut_lineage(near.join(exact, near["token"] == exact["t"], "left").where("t is null or token = word").drop("t"))
-    met = read.select("album_unit_id", F.explode("every").alias("token")).join(near, "token")
-    held = cut_lineage(met.groupBy("album_unit_id").agg(F.array_sort(F.collect_set("word")).alias("held"), F.collect_set(F.struct("word", "token")).alias("as_typed")))
-    pairs = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
-    pivots = held.withColumn("pivot", F.explode(F.concat("held", pairs)))
-    found = pivots.join(wholes, "pivot").where(F.size(F.array_except("need", "held")) == 0)
-    typed = F.filter("as_typed", lambda t: F.array_contains(F.col("need"), t["word"]))
-    return found.select("album_unit_id", "class", "exactly", F.explode(typed).alias("t")).select(
-        "album_unit_id", "class", F.when(F.col("t.word") == F.col("t.token"), F.col("exactly")).otherwise(0).alias("exactly"), F.col("t.token").alias("token")
+def _telling() -> Column:
+    return (F.col("classes") <= TELLING) & ~F.col("word").isin(sorted(names.HONORIFICS)) & (F.length("word") > 1)
+
+
+def title_keys(releases: DataFrame) -> DataFrame:
+    """class, rare: the two rarest words of each title, in order."""
+    split = releases.select("class", "mark", "title", F.explode("title_words").alias("title_word")).distinct()
+    counts = split.groupBy("title_word").agg(F.count("*").alias("n"))
+    rare = split.join(counts, "title_word").groupBy("class", "mark", "title").agg(F.slice(F.array_sort(F.collect_set(F.struct("n", "title_word"))), 1, 2).alias("rare"))
+    return rare.select("class", F.array_sort("rare.title_word").alias("rare")).distinct()
+
+
+def class_keys(linked: DataFrame, class_words: DataFrame, rare: DataFrame) -> DataFrame:
+    """class, key, exactly, nearly: what a folder must hold to be asked for a class, and how well that names it (1, 0, -1), word for word or with slips."""
+    of = linked.select("class", "key").distinct().select("class", "key", F.explode(F.split("key", " ")).alias("word"))
+    held = of.join(class_words.withColumn("telling", _telling()), ["class", "word"]).groupBy("class", "key").agg(F.array_sort(F.collect_set(F.struct("classes", "word", "telling"))).alias("w"))
+    strong = lambda x: x["telling"] & ((F.length(x["word"]) >= LONG) | (F.size("w") == 1))
+
+    def key(name: Column, exactly: Column, nearly: int) -> Column:
+        return F.struct(name.alias("key"), exactly.alias("exactly"), F.lit(nearly).alias("nearly"))
+
+    first, others = F.get("w", F.lit(0))["word"], F.slice("w", F.lit(2), F.size("w"))
+    alone = F.transform(F.filter("w", lambda x: x["telling"]), lambda x: F.struct(x["word"].alias("key"), F.when(strong(x), 1).otherwise(-1).alias("exactly"), F.when(strong(x), 0).otherwise(-1).alias("nearly")))
+    pairs = F.transform(others, lambda y: key(F.array_join(F.array_sort(F.array(first, y["word"])), " "), F.lit(1), 0))
+    initials = F.flatten(F.transform(F.filter("w", lambda x: F.length(x["word"]) > 3), lambda x: F.transform(
+        F.filter("w", lambda y: y["word"] != x["word"]), lambda y: key(F.concat_ws(" ", F.substring(y["word"], 1, 1), x["word"]), F.lit(0), 0))))
+    named = held.select("class", F.inline(F.concat(alone, pairs, initials)))
+    common = class_words.where(~_telling() & (F.length("word") > 2) & ~F.col("word").isin(sorted(names.HONORIFICS))).select("class", "word")
+    beside = common.join(rare, "class").select("class", F.array_join(F.concat(F.array("word"), "rare"), "~").alias("key"), F.lit(-1).alias("exactly"), F.lit(-1).alias("nearly"))
+    return named.unionByName(beside).groupBy("class", F.xxhash64("key").alias("key")).agg(F.max("exactly").alias("exactly"), F.max("nearly").alias("nearly"))
+
+
+def words_met(read: DataFrame, linked: DataFrame, class_words: DataFrame, rare: DataFrame) -> DataFrame:
+    """token, word, is_artist, is_title, telling: words of folders beside the words of artists and titles that they are, or are a slip from if they are none themselves."""
+    lost = linked.select(F.inline(F.pandas_udf(_lost_series, "array<struct<form:string,word:string>>")("spelling")))
+    artist = class_words.groupBy("word").agg(F.max(_telling()).alias("telling")).select(F.col("word").alias("form"), "word", F.lit(True).alias("is_artist"), F.lit(False).alias("is_title"), "telling")
+    damaged = lost.distinct().join(artist.select("word", "is_artist", "is_title", "telling"), "word").select("form", "word", "is_artist", "is_title", "telling")
+    title = rare.select(F.explode("rare").alias("form")).distinct().select("form", F.col("form").alias("word"), F.lit(False).alias("is_artist"), F.lit(True).alias("is_title"), F.lit(False).alias("telling"))
+    flags = [F.max(c).alias(c) for c in ("is_artist", "is_title", "telling")]
+    forms = cut_lineage(artist.unionByName(damaged).unionByName(title).groupBy("form", "word").agg(*flags))
+    tokens = read.select(F.explode("every").alias("word")).distinct()
+    near = names.near_words(tokens, forms.select(F.col("form").alias("word")).distinct()).withColumnsRenamed({"word_a": "token", "word_b": "form"})
+    own = forms.groupBy(F.col("form").alias("token")).agg(F.max("is_artist").alias("own_artist"), F.max("is_title").alias("own_title"))
+    met = near.join(forms, "form").join(own, "token", "left")
+    as_is, slip = F.col("token") == F.col("form"), F.length("token") > LONG
+    kind = lambda c: F.col(f"is_{c}") & (as_is | slip & ~F.coalesce(f"own_{c}", F.lit(False)))
+    met = met.select("token", "word", kind("artist").alias("is_artist"), kind("title").alias("is_title"), "telling").where("is_artist or is_title")
+    return met.groupBy("token", "word").agg(*flags)
+
+
+def folder_keys(read: DataFrame, met: DataFrame) -> DataFrame:
+    """album_unit_id, key, exact, tokens: the keys that the words of a folder make."""
+    held = read.select("album_unit_id", F.explode("every").alias("token")).join(met, "token").groupBy("album_unit_id").agg(
+        F.collect_set(F.when(F.col("is_artist"), F.struct("word", "token", "telling"))).alias("artists"), F.collect_set(F.when(F.col("is_title"), F.struct("word", "token"))).alias("titles")
     )
+    held = held.join(read.select("album_unit_id", F.filter("every", lambda x: F.length(x) == 1).alias("initials")), "album_unit_id")
+    same = lambda x: x["word"] == x["token"]
 
+    def made(words: Column, exact: Column, tokens: Column) -> Column:
+        return F.struct(words.alias("key"), exact.alias("exact"), tokens.alias("tokens"))
 
-def _named_partly(read: DataFrame, class_words: DataFrame, releases: DataFrame) -> DataFrame:
-    """album_unit_id, class, exactly (-1), token: folders that hold any word of an artist beside one of the two rarest words of a title of theirs."""
-    titles = releases.select("class", "title", "title_words").distinct()
-    split = titles.select("class", "title", F.explode("title_words").alias("title_word"))
-    rare = split.join(split.groupBy("title_word").agg(F.count("*").alias("n")), "title_word").groupBy("class", "title").agg(
-        F.slice(F.array_sort(F.collect_set(F.struct("n", "title_word"))), 1, 2).alias("rare")
-    )
-    rare = cut_lineage(rare.select("class", F.explode("rare.title_word").alias("title_word")).distinct())
-    own = class_words.where((F.length("word") > 2) & ~F.col("word").isin(sorted(names.HONORIFICS))).select("class", "word")
-    tokens = read.select("album_unit_id", F.explode("every").alias("token"))
-    near = names.near_words(tokens.select(F.col("token").alias("word")).distinct(), rare.select(F.col("title_word").alias("word")).distinct())
-    title_tokens = tokens.join(near.withColumnsRenamed({"word_a": "token", "word_b": "title_word"}), "token").withColumnRenamed("token", "title_token")
-    artist_tokens = tokens.join(own.select(F.col("word").alias("token")).distinct(), "token")
-    both = artist_tokens.join(title_tokens, "album_unit_id").where("token <> title_token")
-    return both.join(own.join(rare, "class").withColumnRenamed("word", "token"), ["token", "title_word"]).select("album_unit_id", "class", F.lit(-1).alias("exactly"), "token").distinct()
+    alone = F.transform("artists", lambda x: made(x["word"], same(x), F.array(x["token"])))
+    pairs = F.flatten(F.transform("artists", lambda x: F.transform(
+        F.filter("artists", lambda y: (y["word"] > x["word"]) & (y["token"] != x["token"])), lambda y: made(F.concat_ws(" ", x["word"], y["word"]), same(x) & same(y), F.array(x["token"], y["token"])))))
+    initials = F.flatten(F.transform("artists", lambda x: F.transform("initials", lambda i: made(F.concat_ws(" ", i, x["word"]), same(x), F.array(x["token"])))))
+    two = F.array_distinct(F.flatten(F.transform("titles", lambda t: F.transform(F.filter("titles", lambda u: u["word"] >= t["word"]), lambda u: F.array_distinct(F.array(t["word"], u["word"]))))))
+    beside = F.flatten(F.transform(F.filter("artists", lambda x: ~x["telling"]), lambda x: F.transform(
+        "two", lambda t: made(F.concat_ws("~", x["word"], F.array_join(t, "~")), F.lit(True), F.array(x["token"])))))
+    keys = held.withColumn("two", two).select("album_unit_id", F.inline(F.concat(alone, pairs, initials, beside)))
+    return keys.select("album_unit_id", F.xxhash64("key").alias("key"), "exact", "tokens")
 
 
 def folder_nodes(units: DataFrame, linked: DataFrame, class_words: DataFrame, restored: DataFrame, releases: DataFrame) -> DataFrame:
@@ -294,24 +334,12 @@ def folder_nodes(units: DataFrame, linked: DataFrame, class_words: DataFrame, re
     mended = restored.where("kind = 'folder'").select(F.col("id").alias("album_unit_id"), "restored")
     paths = base.join(mended, "album_unit_id", "left").withColumn("path", F.coalesce("restored", "folder_path"))
     read = cut_lineage(spread(paths, "album_unit_id").select("album_unit_id", "track_count", "duration", _read("path").alias("r")).select("album_unit_id", "track_count", "duration", "r.*"))
-    # Family names are words of few classes; each token meets them directly or through one lost letter on either side.
-    families = class_words.where((F.length("word") >= FAMILY) & (F.col("classes") <= FAMILY_CLASSES)).select("word", "class")
-    tokens = read.select(F.explode("tokens").alias("token")).distinct()
-    near = names.near_words(tokens.withColumnRenamed("token", "word"), families.select("word").distinct()).withColumnsRenamed({"word_a": "token", "word_b": "word"})
-    near = near.where((F.col("token") == F.col("word")) | (F.length("token") > FAMILY))
-    exact = near.where("token = word").select(F.col("token").alias("t")).distinct()
-    # A token that is itself a family name is no slip of another one.
-    near = near.join(exact, near["token"] == exact["t"], "left").where("t is null or token = word").drop("t")
-    named = read.select("album_unit_id", F.explode("tokens").alias("token")).join(near, "token").join(families, "word")
-    named = named.select("album_unit_id", "class", (F.col("token") == F.col("word")).cast("int").alias("exactly"), "token")
-    wholly = _named_wholly(read, cut_lineage(whole_names(linked, class_words)))
-    named = cut_lineage(named.unionByName(wholly).unionByName(_named_partly(read, class_words, releases)))
-    level = named.groupBy("album_unit_id", "class").agg(F.max("exactly").alias("named_exactly"))
-    per = named.join(level, ["album_unit_id", "class"]).where("exactly >= 0 or named_exactly < 0").groupBy("album_unit_id", "class").agg(
-        F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.length("token") > 1, F.col("token"))).alias("tokens_named")
-    )
+    rare = cut_lineage(title_keys(releases))
+    asked = folder_keys(read, words_met(read, linked, class_words, rare)).join(class_keys(linked, class_words, rare), "key")
+    level = F.when(F.col("exact"), F.col("exactly")).otherwise(F.col("nearly"))
+    per = asked.groupBy("album_unit_id", "class").agg(F.max(level).alias("named_exactly"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens_named"))
     whole = class_words.groupBy("class").agg(F.array_sort(F.collect_set("word")).alias("class_words"))
-    per = per.join(whole, "class").join(read.drop("tokens", "every"), "album_unit_id")
+    per = per.join(read.drop("every"), "album_unit_id").join(whole, "class")
 
     classes = _Classes()
 
@@ -324,40 +352,58 @@ def folder_nodes(units: DataFrame, linked: DataFrame, class_words: DataFrame, re
     return out.select("album_unit_id", "class", "f.title", "f.mark", F.col("lost").alias("letters_lost"), "year", "number", "track_count", "duration", "named_exactly")
 
 
-def candidates(folders: DataFrame, releases: DataFrame) -> DataFrame:
-    """Pairs of nodes of one class and mark whose titles are equal, a slip apart, or one cut short by a word."""
-    f = folders.select("class", "title", "mark", "letters_lost").distinct()
+def _with_cuts(titles: DataFrame, title: str) -> DataFrame:
+    return titles.where(F.length(title) > 4).select("*", F.explode(names.cut_column(title)).alias("cut"))
+
+
+def albums(releases: DataFrame) -> DataFrame:
+    """class, r_mark, r_title, album, r_known: release titles with the title of the album they mean.
+
+    A title that only one artist has, a slip from another one of theirs, is
+    taken for a slip of it: of one that several artists have, else of the commoner.
+    """
+    known = releases.groupBy(F.col("title").alias("r_title")).agg((F.countDistinct("class") > 1).alias("r_known"))
+    titles = releases.groupBy("class", F.col("mark").alias("r_mark"), F.col("title").alias("r_title")).agg(F.countDistinct("release_id").alias("n"))
+    titles = cut_lineage(titles.join(known, "r_title"))
+    cuts = _with_cuts(titles, "r_title").withColumn("rank", F.struct("r_known", "n", F.col("r_title").alias("t")))
+    other = cuts.select("class", "r_mark", "cut", F.col("rank").alias("rank_b"))
+    near = cuts.where("not r_known").join(other, ["class", "r_mark", "cut"]).where(F.col("rank_b") > F.col("rank"))
+    near = near.where(F.levenshtein("r_title", "rank_b.t") <= F.when(F.least(F.length("r_title"), F.length("rank_b.t")) > 7, 2).otherwise(1))
+    up = cut_lineage(near.groupBy("class", "r_mark", "r_title").agg(F.max("rank_b")["t"].alias("up")))
+    further = up.select("class", "r_mark", F.col("r_title").alias("up"), F.col("up").alias("top"))
+    mapped = titles.join(up, ["class", "r_mark", "r_title"], "left").join(further, ["class", "r_mark", "up"], "left")
+    return mapped.select("class", "r_mark", "r_title", F.coalesce("top", "up", "r_title").alias("album"), "r_known")
+
+
+def candidates(folders: DataFrame, releases: DataFrame, of_albums: DataFrame) -> DataFrame:
+    """Pairs of a folder title and an album of one class: equal titles, titles a slip apart where none is equal, and titles cut short by a word."""
+    f = cut_lineage(folders.select("class", "title", "mark", "letters_lost").distinct())
     r = releases.select("class", F.col("title").alias("r_title"), F.col("mark").alias("r_mark"), "lost", "short", "short_mark").distinct()
-    left = f.select("*", F.explode(names.cut_column("title")).alias("cut"))
-    whole = r.select("class", "r_title", "r_mark", "lost", "short", F.col("r_mark").alias("mark"))
-    right = whole.select("*", F.explode(names.cut_column("r_title")).alias("cut")).unionByName(whole.where("lost <> ''").select("*", F.col("lost").alias("cut")))
-    cut_off = r.where("length(short) > 4 and (short <> r_title or short_mark <> r_mark)")
-    cut_off = cut_off.select("class", "r_title", "r_mark", "lost", "short", F.col("short_mark").alias("mark"), F.col("short").alias("cut"))
-    pairs = left.join(right.unionByName(cut_off).distinct(), ["class", "mark", "cut"]).drop("cut").distinct()
-    slip = F.levenshtein("title", "r_title")
-    long_enough = F.least(F.length("title"), F.length("r_title")) > 4
-    same_mark = F.col("mark") == F.col("r_mark")
-    lost_alike = F.col("letters_lost") & (F.col("title") == F.col("lost")) & (F.col("title") != "") & same_mark
-    alike = same_mark & ((F.col("title") == F.col("r_title")) | long_enough & (slip <= 2))
+    equal, lost, short = (r.select("class", "r_title", "r_mark", F.col(m).alias("mark"), F.col(t).alias("title"), F.lit(k).alias("kind")) for m, t, k in (("r_mark", "r_title", 3), ("r_mark", "lost", 2), ("short_mark", "short", 1)))
+    forms = equal.unionByName(lost.where("title <> '' and title <> r_title")).unionByName(short.where("length(title) > 4 and (title <> r_title or mark <> r_mark)"))
     # Volume and live stay telling where a title is cut off; a number it closed with may be gone.
     same_kind = F.substring_index("mark", "|", -2) == F.substring_index("r_mark", "|", -2)
-    is_short = ~alike & ~lost_alike & same_kind & (F.col("title") == F.col("short"))
-    kept = pairs.where(alike | lost_alike | is_short)
-    kept = kept.groupBy("class", "mark", "title", "r_mark", "r_title").agg(
-        F.max(lost_alike.cast("int")).alias("lost_alike"), F.min(is_short.cast("int")).alias("is_short")
-    )
+    at_once = cut_lineage(f.join(forms.distinct(), ["class", "mark", "title"]).where((F.col("kind") == 3) | (F.col("kind") == 2) & F.col("letters_lost") | (F.col("kind") == 1) & same_kind))
+    open_ = f.join(at_once.where("kind > 1").select("class", "mark", "title"), ["class", "mark", "title"], "left_anti").select("class", "mark", "title").distinct()
+    whole = r.select("class", "r_title", F.col("r_mark").alias("mark"), "lost").distinct()
+    right = _with_cuts(whole, "r_title").unionByName(whole.where("length(lost) > 4").withColumn("cut", F.col("lost"))).drop("lost")
+    slips = _with_cuts(open_, "title").join(right, ["class", "mark", "cut"]).where(F.levenshtein("title", "r_title") <= 2)
+    slips = slips.select("class", "mark", "title", F.col("mark").alias("r_mark"), "r_title", F.lit(0).alias("kind")).distinct()
+    pairs = at_once.select("class", "mark", "title", "r_mark", "r_title", "kind").unionByName(slips).join(of_albums, ["class", "r_mark", "r_title"])
     # Titles that several artists use are titles of their own; two of them aren't slips of each other.
-    known = releases.groupBy(F.col("title").alias("known")).agg(F.countDistinct("class").alias("of_classes")).where("of_classes > 1")
-    kept = kept.join(known.select(F.col("known").alias("k1")), F.col("title") == F.col("k1"), "left")
-    kept = kept.join(known.select(F.col("known").alias("k2")), F.col("r_title") == F.col("k2"), "left")
-    own, other = F.col("k1").isNotNull(), F.col("k2").isNotNull()
-    return kept.select("class", "mark", "title", "r_mark", "r_title", "lost_alike", "is_short", (own & other).alias("both_known"), own.alias("is_known"))
+    known = releases.groupBy("title").agg((F.countDistinct("class") > 1).alias("is_known"))
+    pairs = pairs.join(known, "title", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+    kind = F.col("kind")
+    return pairs.groupBy("class", "mark", "title", "r_mark", "album").agg(
+        F.max(kind == 3).alias("same"), F.max((kind == 2).cast("int")).alias("lost_alike"), F.min((kind == 1).cast("int")).alias("is_short"),
+        F.min(F.col("is_known") & F.col("r_known")).alias("both_known"), F.max("is_known").alias("is_known"),
+    )
 
 
 def _prior() -> Column:
     """Log-odds of a pair of rows before exclusion."""
-    same_title = (F.col("title") == F.col("r_title")) & (F.col("mark") == F.col("r_mark"))
-    title = F.when(F.col("is_short") == 1, -0.4).when(same_title & (F.col("title") != ""), 4.0).when(same_title, 2.5).when(F.col("lost_alike") == 1, 3.0).when(F.col("both_known"), -3.0).otherwise(2.0)
+    same = F.col("same")
+    title = F.when(F.col("is_short") == 1, -0.4).when(same & (F.col("title") != ""), 4.0).when(same, 2.5).when(F.col("lost_alike") == 1, 3.0).when(F.col("both_known"), -3.0).otherwise(2.0)
     # A word that many artists bear is no evidence by itself: title and it need year, counts or number beside them.
     artist = F.when(F.col("named_exactly") == 1, 0.5).when(F.col("named_exactly") == 0, -0.5).otherwise(-4.6)
     def agree(left: str, right: str, alike, yes: float, no: float) -> Column:
@@ -382,14 +428,14 @@ def propagate(edges: DataFrame) -> DataFrame:
     """
     rivals = edges.groupBy("left").agg(F.count("*").alias("n_left"))
     sures = edges.groupBy("right").agg(F.count_if("left_sure").alias("n_right"))
-    counted = cut_lineage(edges.join(rivals, "left").join(sures, "right"))
+    counted = edges.join(rivals, "left").join(sures, "right")
     alone = (F.col("n_left") == 1) & ((F.col("n_right") <= 1) | ~F.col("left_sure"))
     # An edge takes part if it or any rival of it has a rival: the two sides of every factor stay whole.
     contested = counted.where(~alone).select("left", "right")
     shared_left, shared_right = contested.select("left").distinct(), contested.select("right").distinct()
     touched = counted.join(shared_left.withColumn("l", F.lit(True)), "left", "left").join(shared_right.withColumn("r", F.lit(True)), "right", "left")
     touched = cut_lineage(touched.withColumn("in_play", F.coalesce("l", F.lit(False)) | F.coalesce("r", F.lit(False))).drop("l", "r", "n_left", "n_right"))
-    now = cut_lineage(touched.where("in_play").drop("in_play").withColumn("from_left", F.lit(0.0)).withColumn("from_right", F.lit(0.0)))
+    now = touched.where("in_play").drop("in_play").withColumn("from_left", F.lit(0.0)).withColumn("from_right", F.lit(0.0))
     for _ in range(ROUNDS):
         up = now.withColumn("to_left", F.exp(F.least(F.col("prior") + F.col("from_right"), F.lit(30.0)))).withColumn(
             "to_right", F.when(F.col("left_sure"), F.exp(F.least(F.col("prior") + F.col("from_left"), F.lit(30.0)))).otherwise(0.0)
@@ -416,37 +462,35 @@ def propagate(edges: DataFrame) -> DataFrame:
 
 def match(units: DataFrame, releases: DataFrame, spellings: DataFrame, known: DataFrame) -> DataFrame:
     """album_unit_id, release_id, confidence of all pairs that are the same album with a confidence of at least CONFIDENCE."""
-    linked, class_words = artist_classes(releases, spellings, known)
+    linked, class_words = artist_classes(spellings, known)
     texts = units.select(F.lit("folder").alias("kind"), "id", F.col("folder_path").alias("text")).unionByName(
         releases.select(F.lit("release").alias("kind"), "id", F.col("title").alias("text"))
     )
     restored = cut_lineage(mojibake.restore(texts, "text", ["kind", "id"]).select("kind", "id", "restored"))
     rs = cut_lineage(release_nodes(releases, linked, class_words, restored))
     fs = cut_lineage(folder_nodes(units, linked, class_words, restored, rs))
-    titles = cut_lineage(candidates(fs, rs))
+    of_albums = cut_lineage(albums(rs))
+    titles = cut_lineage(candidates(fs, rs, of_albums))
     # A folder that names an artist with a title of theirs isn't asked for others by common words; one that doesn't is a node by itself.
     settled = fs.where("named_exactly >= 0").join(titles.select("class", "mark", "title").distinct(), ["class", "mark", "title"]).select("album_unit_id").distinct()
     partly = fs.where("named_exactly < 0").join(settled, "album_unit_id", "left_anti")
     fs = fs.where("named_exactly >= 0").unionByName(partly).withColumn("alone", F.when(F.col("named_exactly") < 0, F.col("album_unit_id")))
-    fs = cut_lineage(fs)
-    # Nodes: a folder reading and a release reading, with their best evidence; exclusion is between titles of one class.
-    f = fs.select("class", "mark", "title", "year", "duration", F.col("track_count").alias("f_tracks"), "number", "named_exactly", "alone")
-    f = f.groupBy("class", "mark", "title", "alone").agg(
-        F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.col("year") > 0, F.col("year"))).alias("f_years"),
+    # Nodes: a folder reading and an album, with their best evidence; exclusion is between titles of one class.
+    fs = cut_lineage(fs.withColumn("left", F.when(F.col("alone").isNull(), F.xxhash64("class", "mark", "title")).otherwise(F.xxhash64(F.lit("alone"), "alone"))))
+    f = fs.select("class", "mark", "title", "left", "alone", "year", "duration", F.col("track_count").alias("f_tracks"), "number", "named_exactly")
+    f = f.groupBy("class", "mark", "title", "left").agg(
+        F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.col("year") > 0, F.col("year"))).alias("f_years"), F.max("alone").alias("alone"),
         F.collect_set(F.when(F.col("number") != "", F.col("number"))).alias("f_numbers"), F.collect_set("duration").alias("f_durations"), F.expr("percentile(f_tracks, 0.5)").alias("f_tracks")
     )
-    r = rs.groupBy("class", F.col("mark").alias("r_mark"), F.col("title").alias("r_title")).agg(
+    named = rs.withColumnsRenamed({"mark": "r_mark", "title": "r_title"}).join(of_albums, ["class", "r_mark", "r_title"])
+    named = cut_lineage(named.withColumn("right", F.xxhash64("class", "r_mark", "album")))
+    r = named.groupBy("right").agg(
         F.array_union(F.collect_set("year"), F.collect_set("first_year")).alias("r_years"), F.expr("percentile(track_count, 0.5)").alias("r_tracks"),
         F.collect_set("source_release_id").alias("r_ids"), F.collect_set("duration").alias("r_durations"),
-    )
-    left = F.coalesce(F.concat(F.lit("?/"), F.col("alone").cast("string")), F.concat_ws("/", F.col("class").cast("string"), "mark", "title"))
-    right = F.concat_ws("/", F.col("class").cast("string"), "r_mark", "r_title")
-    sure = (F.col("is_known") | (F.col("title") == F.col("r_title"))) & (F.col("is_short") == 0) & F.col("alone").isNull()
-    edges = titles.join(f, ["class", "mark", "title"]).join(r, ["class", "r_mark", "r_title"]).select(
-        left.alias("left"), right.alias("right"), sure.alias("left_sure"), _prior().alias("prior")
     )
-    held = propagate(edges).where(F.col("confidence") >= CONFIDENCE)
-    fk = fs.select("album_unit_id", left.alias("left")).distinct()
-    rk = rs.select("release_id", F.concat_ws("/", F.col("class").cast("string"), "mark", "title").alias("right"))
-    found = held.join(fk, "left").join(rk, "right")
+    sure = (F.col("is_known") | F.col("same")) & (F.col("is_short") == 0) & F.col("alone").isNull()
+    edges = titles.withColumn("right", F.xxhash64("class", "r_mark", "album")).join(f, ["class", "mark", "title"]).join(r, "right")
+    edges = edges.select("left", "right", sure.alias("left_sure"), _prior().alias("prior")).groupBy("left", "right").agg(F.max("left_sure").alias("left_sure"), F.max("prior").alias("prior"))
+    held = propagate(cut_lineage(edges)).where(F.col("confidence") >= CONFIDENCE)
+    found = held.join(fs.select("album_unit_id", "left").distinct(), "left").join(named.select("release_id", "right").distinct(), "right")
     return found.groupBy("album_unit_id", "release_id").agg(F.max("confidence").alias("confidence"))

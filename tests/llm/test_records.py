@@ -188,6 +188,21 @@ def test_artists_without_a_rare_word(spark):
     assert {(r["album_unit_id"], r["release_id"]) for r in found.collect()} == {(i, i) for i in range(1, 7)}
 
 
+def test_family_names_of_many_and_short_names(spark):
+    rng = random.Random(6)
+    made = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n)).title()
+    artists = [f"{made(3)} Silveira" for _ in range(60)] + [f"{made(1)} {made(2)}" for _ in range(20)] + ["Nico", "Cher", "Abba"]
+    albums = [(a, f"{made(3)} {made(4)}") for a in dict.fromkeys(artists) for _ in range(2)]
+    payload = '{{"artists": [{{"name": "{}", "credited_as": null}}], "tracks": []}}'
+    rows = [(i, "discogs", str(i), t, a, "1999", None, 9, payload.format(a)) for i, (a, t) in enumerate(albums)]
+    releases = spark.createDataFrame(rows, _releases(spark).schema)
+    styles = ["/m/{a} - {t} (1999)", "/m/{a}/1999 - {t} [FLAC]", "/m/{t} [{a}, 1999]"]
+    units = spark.createDataFrame([(i, styles[i % 3].format(a=a, t=t), 9, 1000) for i, (a, t) in enumerate(albums)], "id long, folder_path string, track_count int, total_duration_ms long")
+    found = {(r["album_unit_id"], r["release_id"]) for r in entities.match(units, releases, releases.select(F.col("primary_artist").alias("spelling")), spark.createDataFrame([], "spelling_a string, spelling_b string")).collect()}
+    true = {(i, i) for i in range(len(albums))}
+    assert len(found & true) >= 0.95 * len(true) and len(found - true) <= 0.02 * len(true)
+
+
 def test_messages_settle(spark):
     pairs = [(i, j) for i in range(9) for j in (i, i + 1)]
     prior = {p: 3.0 for p in pairs}
@@ -202,9 +217,9 @@ def test_messages_settle(spark):
 
 
 def test_evidence_of_nodes(spark):
-    row = dict(title="x", r_title="x", mark="", r_mark="", is_short=0, lost_alike=0, both_known=False, named_exactly=1, f_tracks=None, r_tracks=None)
+    row = dict(title="x", same=True, is_short=0, lost_alike=0, both_known=False, named_exactly=1, f_tracks=None, r_tracks=None)
     sets = dict(f_years=[1970, 1999], r_years=[1971, 2010], f_numbers=["5"], r_ids=["5", "9"], f_durations=[1_000_000], r_durations=[1_010_000, 2_000_000])
-    kind = "title string, r_title string, mark string, r_mark string, is_short int, lost_alike int, both_known boolean, named_exactly int, f_tracks double, r_tracks double, "
+    kind = "title string, same boolean, is_short int, lost_alike int, both_known boolean, named_exactly int, f_tracks double, r_tracks double, "
     kind += "f_years array<int>, r_years array<int>, f_numbers array<string>, r_ids array<string>, f_durations array<long>, r_durations array<long>"
     cases = [sets, {**sets, "f_durations": [1_500_000]}, {**sets, "f_durations": [], "r_ids": ["9"]}]
     df = spark.createDataFrame([tuple({**row, **c}.values()) for c in cases], kind)

@@ -5,76 +5,83 @@ the ancestors' keys and places down, `flatten` joins the arrays of a level,
 and one `inline` per target table emits its rows. No shuffle takes place: a
 row's children stay in the row's task.
 
+Users are looked for, not expected: an object with a name or directories is
+one, wherever it stands; objects, lists and texts holding JSON around it are
+opened, up to WRAPS of them. Its place is that in the innermost list around it.
+
 Defined results: text that isn't complete JSON (null, empty, cut off, markup)
-yields no rows. A text holding JSON as a string is unwrapped, as is a byte
-order mark and an object around the list of users. An object where a list
-belongs is a list of one; null, absent or scalar levels are empty; null
-entries keep their place but yield no row. Repeated answers are each turned
-under their own key. Further columns of the input are ignored.
+yields no rows; a byte order mark before it is no fault, and of a key written
+twice the last one counts. An object where a list belongs is a list of one;
+null, absent or scalar levels are empty; null entries keep their place but
+yield no row. Repeated answers are each turned under their own key. Further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names under which an answer may hold its list, outermost first.
-WRAPPERS = ("users", "data", "result", "response", "payload")
-#: How often a text may be JSON within a JSON string.
-UNWRAPS = 3
+#: Objects, lists and texts that may stand around a user; how many of the outermost may be JSON texts.
+WRAPS, TEXTS = 8, 4
 
 _VARIANTS = "array<variant>"
 
 
-def parse_whole(text: Column) -> Column:
-    """The text as a variant, or null where it isn't exactly one complete JSON value."""
-    value = _parse_one(text)
-    for _ in range(UNWRAPS):
-        inner = F.try_variant_get(value, "$", "string")
-        value = F.when(F.schema_of_variant(value) == "STRING", _parse_one(inner)).otherwise(value)
-    return value
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _parse_one(text: Column) -> Column:
-    """The parser stops after one value; wrapped in an enclosing one, whatever follows it is an error."""
+def parse_whole(text: Column) -> Column:
+    """The text as a variant, or null where it isn't one complete JSON value.
+
+    The parser stops after one value; wrapped in an enclosing one, whatever follows it is an error.
+    """
     bare = F.regexp_replace(text, r"^[\x{FEFF}\s]+", "")
     return F.try_variant_get(F.try_parse_json(F.concat(F.lit('[{"v":'), bare, F.lit("}]"))), "$[0].v", "variant")
 
 
+def get(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", kind)
+
+
+def is_object(value: Column) -> Column:
+    """Without looking at the fields: an object passes for a struct of none."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+
+
 def as_list(value: Column) -> Column:
     """A list stays, an object becomes a list of one, anything else an empty list."""
-    listed = F.try_variant_get(value, "$", _VARIANTS)
-    return F.coalesce(
-        listed,
-        F.when(F.try_variant_get(value, "$", "map<string,variant>").isNotNull(), F.array(value)),
-        F.array().cast(_VARIANTS),
-    )
+    return bound(value, lambda v: F.coalesce(F.try_variant_get(v, "$", _VARIANTS), F.when(is_object(v), F.array(v)), F.array().cast(_VARIANTS)))
 
 
-def get(value: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(value, f"$.{path}", kind)
+def _placed(no: Column, value: Column) -> Column:
+    return F.struct(no.cast("int").alias("no"), value.alias("v"))
 
 
-def is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+def _opened(found: Column, with_texts: bool) -> Column:
+    """Of values with their places: users stay, lists, objects and texts give what they hold, anything else falls away."""
+    none = F.array().cast("array<struct<no:int,v:variant>>")
 
+    def one(x: Column) -> Column:
+        v = x["v"]
+        is_user = is_object(v) & (get(v, "directories", "variant").isNotNull() | get(v, "username", "variant").isNotNull())
+        members = F.transform(F.try_variant_get(v, "$", _VARIANTS), lambda e, i: _placed(i, e))
+        fields = F.transform(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: _placed(x["no"], e))
+        out = F.when(is_user, F.array(x)).otherwise(F.coalesce(members, fields, none))
+        if with_texts:
+            text = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+            out = F.when(is_user, F.array(x)).otherwise(F.coalesce(members, fields, bound(text, lambda t: F.when(t.rlike(r"^\s*[\x{FEFF}\[{\"]"), F.array(_placed(x["no"], parse_whole(t))))), none))
+        return F.filter(out, lambda y: y["v"].isNotNull())
 
-def users_of(value: Column) -> Column:
-    """The list of users, whether it stands alone or in an object around it."""
-    wrapped = F.coalesce(*[get(value, w, "variant") for w in WRAPPERS])
-    is_user = get(value, "directories", "variant").isNotNull() | get(value, "username", "variant").isNotNull()
-    return as_list(F.when(is_object(value) & ~is_user & wrapped.isNotNull(), wrapped).otherwise(value))
+    return F.flatten(F.transform(found, one))
 
 
-def _user(u: Column, i: Column) -> Column:
-    return F.struct(
-        i.alias("user_no"),
-        get(u, "username", "string").alias("username"),
-        as_list(get(u, "directories", "variant")).alias("directories"),
-        is_object(u).alias("here"),
-    )
+def _user(x: Column) -> Column:
+    return F.struct(x["no"].alias("user_no"), get(x["v"], "username", "string").alias("username"), as_list(get(x["v"], "directories", "variant")).alias("directories"))
 
 
 def _directory(u: Column, d: Column, j: Column) -> Column:
@@ -97,34 +104,34 @@ FILE_FIELDS = (
 )
 
 
-def _file(d: Column, f: Column, k: Column) -> Column:
+def _file(d: Column, f: Column, k: Column, fields: Sequence[tuple[str, str, str]]) -> Column:
     return F.struct(
         d["user_no"].alias("user_no"),
         d["directory_no"].alias("directory_no"),
         k.alias("file_no"),
-        *[get(f, name, kind).alias(column) for column, name, kind in FILE_FIELDS],
+        *[get(f, name, kind).alias(column) for column, name, kind in fields],
         is_object(f).alias("here"),
     )
 
 
-def _levels(answers: DataFrame, keys: Sequence[str], payload: str) -> dict[str, tuple[DataFrame, str]]:
-    users = answers.select(*keys, parse_whole(F.col(payload)).alias("__value")).where("__value is not null")
-    users = users.select(*keys, F.transform(users_of(F.col("__value")), _user).alias("__users"))
+def flat_tables(answers: DataFrame, keys: Sequence[str], payload: str, fields: Sequence[tuple[str, str, str]] = FILE_FIELDS) -> dict[str, DataFrame]:
+    """users, directories and files of every answer, each with the places of its ancestors; files with the fields asked for.
+
+    Sets spark.sql.variant.allowDuplicateKeys of the session, without which an answer with a key written twice can't be read.
+    """
+    answers.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    found = F.array(_placed(F.lit(0), parse_whole(F.col(payload))))
+    for i in range(WRAPS):
+        found = _opened(found, i < TEXTS)
+    users = answers.select(*keys, F.transform(found, _user).alias("__users"))
     directories = users.select(
         *keys,
-        F.flatten(F.transform("__users", lambda u: F.transform(u["directories"], lambda d, j: _directory(u, d, j)))).alias("__dirs"),
+        F.filter(F.flatten(F.transform("__users", lambda u: F.transform(u["directories"], lambda d, j: _directory(u, d, j)))), lambda d: d["here"]).alias("__dirs"),
     )
     files = directories.select(
         *keys,
-        F.flatten(F.transform("__dirs", lambda d: F.transform(d["files"], lambda f, k: _file(d, f, k)))).alias("__files"),
+        F.filter(F.flatten(F.transform("__dirs", lambda d: F.transform(d["files"], lambda f, k: _file(d, f, k, fields)))), lambda f: f["here"]).alias("__files"),
     )
-    return {"users": (users, "__users"), "directories": (directories, "__dirs"), "files": (files, "__files")}
-
-
-def flat_tables(answers: DataFrame, keys: Sequence[str], payload: str) -> dict[str, DataFrame]:
-    """users, directories and files of every answer, each with the places of its ancestors."""
-    out = {}
-    for name, (level, column) in _levels(answers, keys, payload).items():
-        rows = level.select(*keys, F.inline(F.col(column))).where("here")
-        out[name] = rows.drop("here", "directories", "files")
-    return out
+    levels = {"users": (users, "__users"), "directories": (directories, "__dirs"), "files": (files, "__files")}
+    # The outer form, without the rows it makes of empty lists: for the plain one the optimiser would work the list out twice, once to see whether it is empty.
+    return {name: level.select(*keys, F.inline_outer(F.col(column))).where("user_no is not null").drop("here", "directories", "files") for name, (level, column) in levels.items()}

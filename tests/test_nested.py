@@ -21,3 +21,24 @@ def test_all_shapes(spark):
     assert sum(x[0] == 13 for x in got) == 5001
     assert t["directories"].where("snapshot_id = 11").count() == 3 and t["users"].where("snapshot_id = 10").count() == 0
     assert flat_tables(df.limit(0), ["snapshot_id"], "payload")["files"].count() == 0
+
+
+def test_any_wrapper_and_repeated_keys(spark):
+    one = {"username": "a", "directories": [{"directory": "d", "files": [FILE, FILE]}]}
+    two = [(i, 0, 0, k) for i in range(9) for k in (0, 1)]
+    answers = [
+        json.dumps({"data": {"users": [one]}}), json.dumps({"items": [one]}), json.dumps({"results": {"users": [one]}}), json.dumps({"a": {"b": {"c": {"d": [one]}}}}),
+        json.dumps({"body": json.dumps({"anything": [one]})}), json.dumps(json.dumps(json.dumps([one]))), json.dumps(one)[:-1] + ', "username": "b"}', json.dumps([{"user": one}]),
+        json.dumps({"count": 1, "note": "[not json", "list": [one]}), json.dumps([one]) + "]", json.dumps([one]) + "}", "[" + json.dumps(one) + ",",
+    ]
+    df = spark.createDataFrame(list(enumerate(answers)), "snapshot_id long, payload string")
+    tables = flat_tables(df, ["snapshot_id"], "payload")
+    assert sorted(tuple(r) for r in tables["files"].select("snapshot_id", "user_no", "directory_no", "file_no").collect()) == two
+    assert [r["username"] for r in tables["users"].where("snapshot_id = 6").collect()] == ["b"]
+
+
+def test_the_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, "[]")], "snapshot_id long, payload string")
+    for name, t in flat_tables(df, ["snapshot_id"], "payload").items():
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("parseJson") + plan.count("parse_json") <= 5, (name, plan)

@@ -2,8 +2,10 @@
 
 Quick-check properties tell for nearly every text that nothing is to be done:
 the text is NFC and holds no character of the suspicious classes. Only in the
-others are the unstable segments isolated, each widened to the boundaries
-around it (the starter before, the combining marks after), brought to its
+others are the unstable segments isolated: from a character whose quick check
+isn't Yes back to the boundary before it (the last starter that composes with
+nothing before) and on to the next one, so that vowels and finals that are starters themselves
+(Hangul, Bengali, Tamil) stay with what they compose with. Each is brought to its
 canonical form and spliced back; the rest of the text is not touched. Within
 a word, letters of another script that look like letters of the word's own
 script are replaced by these.
@@ -20,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -75,20 +78,55 @@ SUSPICIOUS = _suspicious()
 _SUSPICIOUS = re.compile(SUSPICIOUS)
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters whose quick check says Maybe though they are starters: they may compose with a starter before them."""
+    out = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}  # vowels and finals of Hangul syllables
+    for c in map(chr, _beyond_ideographs()):
+        parts = unicodedata.decomposition(c)
+        if parts and parts[0] != "<" and " " in parts and unicodedata.is_normalized("NFC", c):
+            out.add(chr(int(parts.split(" ")[1], 16)))
+    return frozenset(c for c in out if not unicodedata.combining(c))
+
+
+def _beyond_ideographs() -> Iterator[int]:
+    """All code points but the large blocks of ideographs, syllables and private ones, which are stable starters."""
+    yield from (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1FFFF), *range(0x2F800, 0x2FA20))
+
+
+@lru_cache(maxsize=1)
+def _unstable() -> re.Pattern:
+    """Characters with which a text may not be in its canonical form: marks, joining starters, No and width, font or ligature forms."""
+    ranges: list[list[int]] = []
+    for code in _beyond_ideographs():
+        c = chr(code)
+        if unicodedata.combining(c) or c in _joining() or _compatible(c) or not unicodedata.is_normalized("NFC", c):
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
+
+
+def _is_boundary(c: str) -> bool:
+    return not unicodedata.combining(c) and c not in _joining() and not _compatible(c)
+
+
 def _segments(text: str) -> Iterator[tuple[int, int, str]]:
     """The unstable segments: start, end, canonical form."""
-    i, n = 0, len(text)
-    while i < n:
-        j = i + 1
-        while j < n and unicodedata.combining(text[j]):
-            j += 1
-        piece = text[i:j]
-        canonical = "".join(unicodedata.normalize("NFKC", c) if _compatible(c) else c for c in piece)
-        if len(piece) > 1 or not unicodedata.is_normalized("NFC", canonical):
-            canonical = unicodedata.normalize("NFC", canonical)
+    end = 0
+    for m in _unstable().finditer(text):
+        if m.start() < end:
+            continue
+        start, end = m.start(), m.start() + 1
+        while start > 0 and not _is_boundary(text[start]):
+            start -= 1
+        while end < len(text) and not _is_boundary(text[end]):
+            end += 1
+        piece = text[start:end]
+        canonical = unicodedata.normalize("NFC", "".join(unicodedata.normalize("NFKC", c) if _compatible(c) else c for c in piece))
         if canonical != piece:
-            yield i, j, canonical
-        i = j
+            yield start, end, canonical
 
 
 def _own_script(word: str, context: Counter) -> str | None:

@@ -2,12 +2,15 @@
 
 For every token the gap to its previous occurrence is taken; content words
 that come back within LAG tokens, often enough in the text, are marked, as
-are links where there are many of them. Inside sentences with function words
+are links where there are many of them. Gaps of any length make the text's
+positional autocorrelation: where one lag (or its neighbours) holds for many
+positions outside sentences, the repetition is unnaturally regular, and all
+positions it covers are marked, however long the repeated block. Long runs of short list
+items, hardly any of them said twice and without function words, are marked
+as lists of nouns. Inside sentences with function words
 only recurrence within the sentence counts, so that refrains stay text. Marks
 are smoothed over a window of neighbours into regions; a page is stuffed if
-regions hold more than SHARE of its characters (stuffed pages measure 0.4 and more, text 0.1 and less). Positional autocorrelation
-(the share of positions that repeat the token `lag` places before, at its
-strongest lag) is reported beside.
+regions hold more than SHARE of its characters (stuffed pages measure 0.4 and more, text 0.1 and less).
 
 Every document is judged by itself, in one pass without a shuffle. Defined
 results: null, empty or token-less text is never stuffed and has share 0;
@@ -31,6 +34,10 @@ LAG, HALF, DENSE = 30, 10, 0.4
 LEAST_COUNT, LEAST_LINKS, LEAST_TOKENS, SHARE = 3, 6, 10, 0.3
 #: A line with at least this share of function words is a sentence.
 SENTENCE = 0.2
+#: Positions, and their share of those outside sentences, for which one lag (give or take one) must hold to be regular.
+REGULAR, REGULAR_SHARE = 12, 0.2
+#: Items a list of nouns needs in a row, words an item may have, share of different items.
+LEAST_ITEMS, ITEM_WORDS, DIFFERENT = 15, 4, 0.8
 
 #: Frequent function words of the documents' languages.
 FUNCTION_WORDS = frozenset("""
@@ -52,6 +59,8 @@ _CREDIT = re.compile(r"^[^:]{3,50}:\s\S[^:.,;|]{2,30}$")
 _PRICE = re.compile(r"\d[.,]\d\d ?(?:EUR|USD|GBP|BRL|€|\$|£)")
 _TOKEN = re.compile(r"https?://\S+|#\w+|\w[\w'’-]*(?:\.\w[\w-]*)+(?=[\s·,;)|]|$)|\w+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
+_NUMBERED = re.compile(r"^\W*(?:\d{1,3}|[A-H]\d{0,2})\s*[.):\-–]?\s")
+_ITEM_END = re.compile(r"[,;|·•>/★✓*]+|\s[–—-]\s|\s\.\s")
 
 
 def _is_record(line: str) -> bool:
@@ -66,12 +75,51 @@ def _is_link(token: str) -> bool:
     return token.startswith(("http", "#")) or "." in token and not token[0].isdigit()
 
 
+def _list_items(line: str) -> list[str] | None:
+    """Items of a line that may belong to a list of nouns: short, without function words, not names or numbers; None for other lines."""
+    items = [x.strip() for x in _ITEM_END.split(line) if x.strip()]
+    for item in items:
+        of = _TOKEN.findall(item)
+        if not of or len(of) > ITEM_WORDS or item[-1] in ".!?:" or any(t.lower() in FUNCTION_WORDS for t in of) or any(c.isdigit() for c in item):
+            return None
+        if len(of) > 1 and all(t[0].isupper() for t in of):
+            return None
+    return items
+
+
+def _noun_lists(lines: list[str]) -> set[int]:
+    """The lines that make long runs of different short items."""
+    out: set[int] = set()
+    run: list[int] = []
+    held: list[str] = []
+
+    def close() -> None:
+        if len(held) >= LEAST_ITEMS and len({x.lower() for x in held}) >= DIFFERENT * len(held):
+            out.update(run)
+        run.clear()
+        held.clear()
+
+    for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        items = None if _is_record(line.strip()) or _NUMBERED.match(line) else _list_items(line)
+        if items is None:
+            close()
+        else:
+            run.append(i)
+            held += items
+    close()
+    return out
+
+
 def measure(text: str | None) -> tuple[float, float, int]:
     """Share of characters in regions, strongest positional autocorrelation, links."""
     tokens: list[str] = []
-    record, sentence, in_link_line = [], [], []
+    record, sentence, in_link_line, listed = [], [], [], []
     twice: set[str] = set()
-    for line in (text or "").split("\n"):
+    lines = (text or "").split("\n")
+    of_nouns = _noun_lists(lines)
+    for number, line in enumerate(lines):
         is_record = _is_record(line.strip())
         for part in _SENTENCE_END.split(line):
             found = [m.lower() for m in _TOKEN.findall(part)]
@@ -84,6 +132,7 @@ def measure(text: str | None) -> tuple[float, float, int]:
             record += [is_record] * len(found)
             sentence += [functional] * len(found)
             in_link_line += [linked] * len(found)
+            listed += [number in of_nouns] * len(found)
     n = len(tokens)
     if n < LEAST_TOKENS:
         return 0.0, 0.0, 0
@@ -91,19 +140,29 @@ def measure(text: str | None) -> tuple[float, float, int]:
     many = sum(links) >= LEAST_LINKS
     counts, last, marks = Counter(tokens), {}, [0] * n
     lags: Counter[int] = Counter()
+    free = 0
+    back: list[tuple[int, int]] = []
     for i, t in enumerate(tokens):
         if record[i]:
             continue
-        if many and (links[i] or in_link_line[i]):
+        if listed[i] or many and (links[i] or in_link_line[i]):
             marks[i] = 1
         if t in FUNCTION_WORDS:
             continue
+        free += not sentence[i]
         j = last.get(t)
         last[t] = i
-        if j is None or i - j > LAG:
+        if j is None:
             continue
-        lags[i - j] += 1
-        if counts[t] >= LEAST_COUNT and (t in twice or not sentence[i] or not sentence[j]):
+        if not sentence[i] and not sentence[j]:
+            lags[i - j] += 1
+            back.append((i, j))
+        if i - j <= LAG and counts[t] >= LEAST_COUNT and (t in twice or not sentence[i] or not sentence[j]):
+            marks[i] = marks[j] = 1
+    near = {lag: k + lags[lag - 1] + lags[lag + 1] for lag, k in list(lags.items())}
+    regular = {lag for lag, k in near.items() if k >= max(REGULAR, REGULAR_SHARE * free)}
+    for i, j in back:
+        if i - j in regular and (counts[tokens[i]] >= LEAST_COUNT or i - j > LAG):
             marks[i] = marks[j] = 1
     sums, inside, whole = [0, *accumulate(marks)], 0, 0
     for i, t in enumerate(tokens):
@@ -111,7 +170,7 @@ def measure(text: str | None) -> tuple[float, float, int]:
         whole += len(t)
         if not record[i] and sums[high] - sums[low] >= DENSE * (high - low):
             inside += len(t)
-    return inside / whole, max(lags.values(), default=0) / n, sum(links)
+    return inside / whole, max(near.values(), default=0) / n, sum(links)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,8 @@
 """Wrong encodings, look-alikes, stuffing: small tables, brute force and round trips."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +59,28 @@ def test_quick_check_passes_nothing_that_a_rule_changes(spark):
     assert {r["t"]: r["plain"] for r in lookalikes.to_plain(df, "t", ["id"]).collect()} == {t: p for t, p in shown.items() if p}
 
 
+def _spliced(text):
+    parts, at = [], 0
+    for start, end, canonical in lookalikes._segments(text):
+        parts += (text[at:start], canonical)
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def test_segments_equal_normalisation_of_the_whole():
+    every = [chr(c) for c in range(0x80, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co") and not any(map(lookalikes._compatible, unicodedata.normalize("NFD", chr(c))))]
+    for c in every:
+        for shown in (c, unicodedata.normalize("NFD", c)):
+            assert _spliced(f"a{shown}b") == unicodedata.normalize("NFC", f"a{shown}b"), hex(ord(c))
+    rng = random.Random(7)
+    marks = [c for c in every if unicodedata.combining(c)] + sorted(lookalikes._joining())
+    for _ in range(3000):
+        text = "".join(rng.choice(marks if rng.random() < 0.5 else every) for _ in range(8))
+        assert _spliced(text) == unicodedata.normalize("NFC", text), ascii(text)
+    for text in ["한국의 노래", "বাংলা গোলাপ", "தமிழ் கொடி", "Việt Nam"]:
+        assert lookalikes.plain_form(unicodedata.normalize("NFD", text)) == text
+
+
 def test_plain_form_is_stable():
     for text in ["Ｒｉｖ", "Оrаção", "Тpaмвaй", "Sa\u0303o \u200bx", "ﬁn"]:
         assert lookalikes.plain_form(lookalikes.plain_form(text)) == lookalikes.plain_form(text)
@@ -69,7 +94,10 @@ STUFFED = [
     "Our stylus team sells stylus to every stylus lover. Looking for stylus? Here stylus means stylus you can trust. " * 4,
     "A short sentence before all of that, with some words. " + "colored vinyl ★ used records ✓ colored vinyl ! used records & " * 12,
 ]
+NOUNS = "lamp table chair sofa rug mirror vase clock shelf desk bed pillow blanket towel curtain basket candle frame tray bowl plate cup mug glass fork knife".split()
+STUFFED += [", ".join(NOUNS), "\n".join(NOUNS), "A word before.\n" + " ".join([*NOUNS, *(w + "s" for w in NOUNS)] * 5)]
 TEXT = [
+    "\n".join(f"{i}. Silver {w}" for i, w in enumerate(NOUNS)), "\n".join(f"A{i} {w.title()}" for i, w in enumerate(NOUNS)), ", ".join(f"Ana{w} Silva{w}".title() for w in NOUNS),
     "The gatefold never quite reaches a stubborn hum, and the old mono cut answers the melody. See https://a.example and https://b.example #mono #jazz",
     "\n".join(f"{i}. The Silver Garden {i} 3:{10 + i}" for i in range(1, 15)),
     "\n".join(f"2023-04-{i:02}T09:41:06 DEBUG measure: unit {i} left as it was after {i} ms" for i in range(1, 20)),

@@ -4,7 +4,8 @@ Every text is cut into tokens; the distinct tokens (not the rows) are scanned
 by an automaton of garbled sequences, which yields for each pair of encodings
 the token with only the matched spans replaced. A reading is accepted when it
 is structurally clean and either its sequences are several characters long or
-the corpus itself writes that token far more often. Tokens that are damaged
+the corpus itself writes that token far more often. Odd signs within a word
+lend weight to a reading and prove nothing by themselves. Tokens that are damaged
 beyond every pair (replacement characters, lost bytes) are reported without a
 restoration.
 
@@ -19,26 +20,28 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import cut_lineage, spread
 from . import garble_tables as tables
 
 #: Where a token ends: ASCII separators and wide spaces. No-break spaces stay, being the second half of many sequences.
 SPLIT = r"[ /\\._\-()\[\],:+&#\"!?' -  　]+"
 #: A reading with one-character sequences must be so many times as frequent as what is written, plus LEX_LEAST.
 LEX_RATIO, LEX_LEAST = 5, 2
-#: Passes over a token: text may have been garbled more than once.
-PASSES = 3
+#: Passes over a token: text may have been garbled more than once. Rows of one token that one task joins.
+PASSES, SALTED = 3, 50_000
 
 _AFTER = set("½⅓¼¾²³¹ºª°™®©″′")
 _INSIDE_FREE = set("’·")
 
 
+@lru_cache(maxsize=1 << 16)
 def _script(c: str) -> str:
     name = unicodedata.name(unicodedata.normalize("NFKC", c)[:1], "?").split(" ")[0].split("-")[0]
     if name in ("HIRAGANA", "KATAKANA", "IDEOGRAPHIC"):
@@ -92,7 +95,10 @@ def _readings(token: str) -> dict[str, tuple[tuple[str, str], int, int]]:
         for pair, c in origins.items():
             found[pair].append((end - n + 1, end + 1, c))
     out: dict[str, tuple[tuple[str, str], int, int]] = {}
-    for pair, hits in found.items():
+    # Readings with a lost byte come last: what a whole pair says as well is its own.
+    for pair, hits in sorted(found.items(), key=lambda f: "-" in f[0][0]):
+        lost = "-" in pair[0]
+        hits = hits + found.get(("utf_8", pair[1]), []) if lost else hits
         hits.sort(key=lambda h: (h[0], -h[1]))
         at, parts, n, width = 0, [], 0, 0
         for start, end, c in hits:
@@ -100,8 +106,12 @@ def _readings(token: str) -> dict[str, tuple[tuple[str, str], int, int]]:
                 parts += (token[at:start], c)
                 at, n, width = end, n + 1, width + end - start
         restored = "".join([*parts, token[at:]])
-        if restored not in out or width > out[restored][2]:
+        if restored not in out or width > out[restored][2] and not lost:
             out[restored] = (pair, n, width)
+    for restored, written, read, width, plausible in tables.east_readings(token):
+        if restored not in out or width > out[restored][2]:
+            # Counted as sequences of one character where it isn't plausible: then the corpus must know the restored token.
+            out[restored] = ((written, read), width // (3 if written == "utf_8" else 2) if plausible else width, width)
     for read in tables.READ_WIDE:
         # A two-byte reader swallows the character that follows; only the whole token can be turned back.
         try:
@@ -125,28 +135,27 @@ def readings(token: str) -> list[tuple[str, str, bool]]:
             for restored, (pair, n, width) in _readings(text).items():
                 if restored == token or restored in seen or depth and pair[0] != "utf_8":
                     continue
-                name = f"{path} {pair[0]}>{pair[1]}".strip()
+                name = f"{path} {pair[0].split('-')[0]}>{pair[1]}".strip()
                 score, mixed = damage(restored)
                 wide = width >= 2 * n and (pair[0] == "utf_8" or n > 1)
                 if not score and not mixed:
                     seen[restored] = (restored, name, wide or len(name.split()) > 1)
                 elif pair[0] == "utf_8" and width >= 2 * n:
                     below[restored] = (name, score)
-        level = dict(sorted(below.items(), key=lambda x: x[1][1])[:4])
+        level = below
         if not level:
             break
     return list(seen.values())
 
 
-_READING = "token string, plain string, damage int, mixed boolean, restored string, restored_plain string, pair string, surely boolean"
+_READING = "token string, plain string, damage int, proven boolean, restored string, restored_plain string, pair string, surely boolean"
 
 
 def _read_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for token in batch["token"]:
-            score, mixed = damage(token)
-            own = [(token, token.lower(), score, mixed)]
+            own = [(token, token.lower(), damage(token)[0], bool(tables.proofs().search(token)))]
             rows += [(*own[0], r, r.lower(), pair, surely) for r, pair, surely in readings(token)] or [(*own[0], None, None, None, False)]
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _READING.split(", ")])
 
@@ -158,9 +167,8 @@ def tokens_of(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return texts.where(has).select(*keys, F.explode(cut).alias("token"))
 
 
-def garbled_tokens(tokens: DataFrame) -> DataFrame:
-    """token, restored (null where beyond repair), pair: of the distinct tokens, those that came out wrong."""
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+def garbled_tokens(counts: DataFrame) -> DataFrame:
+    """token, restored (null where beyond repair), pair: of the distinct tokens (token, n), those that came out wrong."""
     lexicon = counts.groupBy(F.lower("token").alias("plain")).agg(F.sum("n").alias("n"))
     read = spread(counts.select("token"), "token").mapInPandas(_read_tokens, _READING)
     wanted = lexicon.withColumnRenamed("plain", "restored_plain").withColumnRenamed("n", "n_restored")
@@ -174,25 +182,30 @@ def _verdict() -> list[Column]:
     longer = (F.length("token") > 1) | is_mark
     by_lexicon = (known >= LEX_RATIO * own + LEX_LEAST) & longer
     damaged = (F.col("damage") > 0) & (known > 0)
-    by_form = F.col("surely") & ((known > 0) | (F.col("damage") > 0) | (own <= 2) & F.col("pair").startswith("utf_8") & ~F.col("pair").contains(" "))
+    # A closing quotation mark is part of a sequence only where none opens the token.
+    quoted = F.col("token").rlike("^[«“„].*[»”“]$")
+    by_form = F.col("surely") & ((known > 0) | (F.col("damage") > 0) | (own <= 2) & F.col("pair").startswith("utf_8") & ~F.col("pair").contains(" ") & ~quoted)
     accepted = F.col("restored").isNotNull() & (by_lexicon | damaged | by_form)
     rank = F.when(accepted, F.struct(known.alias("k"), F.col("surely").alias("s"), F.col("restored").alias("r"), F.col("pair").alias("p")))
     best = F.max(rank)
     return [
-        (best.isNotNull() | F.max(F.col("damage") > 0)).alias("garbled"),
+        (best.isNotNull() | F.max("proven")).alias("garbled"),
         best["r"].alias("restored"),
         best["p"].alias("pair"),
     ]
 
 
-def find_garbled(texts: DataFrame, text: str, keys: Sequence[str], salts: int = 16) -> DataFrame:
+def find_garbled(texts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """The keys of every text in which a character came out wrong, with `restored` and whether it is `whole`.
 
-    The few garbled tokens meet the many rows in a join salted by row, so that
+    The few garbled tokens meet the many rows in a join salted by row, in as
+    many parts as the commonest token needs at SALTED rows each, so that
     one token standing in a third of all rows doesn't fall to one task.
     """
     tokens = tokens_of(texts, text, keys)
-    wrong = garbled_tokens(tokens).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    salts = 1 + (counts.agg(F.max("n")).first()[0] or 0) // SALTED
+    wrong = garbled_tokens(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = tokens.withColumn("salt", F.pmod(F.hash(*keys), F.lit(salts)))
     return salted.join(wrong, ["token", "salt"]).drop("salt")
 

@@ -26,6 +26,21 @@ def test_round_trip_through_each_pair(written, read):
                 assert token in [r for r, _, _ in mojibake.readings(garbled)], (token, garbled)
 
 
+@pytest.mark.parametrize("written,text", [("gbk", "我爱你"), ("euc_jp", "静かな散歩道"), ("cp932", "夜のラジオ"), ("cp949", "작은노래"), ("utf_8", "夜のラジオ")])
+def test_east_asian_tables_through_all_readers(written, text):
+    for read in garble_tables.READ_AS:
+        garbled = garble_tables.lenient_decode(text.encode(written), read)
+        if garbled and garble_tables.lenient_encode(garbled, read) == text.encode(written) and not set(garbled) & set(" _[]{}\\"):
+            assert text in [r for r, _, _ in mojibake.readings(garbled)], (read, garbled)
+
+
+def test_signs_between_letters_prove_nothing(spark):
+    plain = ["Hits A–Z", "LED–Zeppelin IV", "rock“n”roll", "I♥NY", "→ Left", "créée", "Coração", "GUÐRÚN", "Café★Bar", "«BLÅ»", "50€uro", "L’Été…Encore", "Beyoncé—Live"]
+    bad = ["StraÃe", "Ð\u009dÐ¾Ñ\u0087", "ï¿½Ame", "ÐÐ¾ÐµÐ·Ð´", "Cna‡Æo", "GÃ¼neÅli"]
+    df = spark.createDataFrame(list(enumerate(plain + bad)), "id long, text string")
+    assert {r["text"] for r in mojibake.find_garbled(df, "text", ["id"]).join(df, "id").collect()} == set(bad)
+
+
 def test_find_and_restore(spark):
     rows = [(i, t) for i, t in enumerate(PLAIN * 4)]
     bad = [(100, "CoraÃ§Ã£o de JoÃ£o"), (101, "Coraçăo � x"), (102, "Can\x8d‹o do Av™"), (103, "CoraÃ\x83Â§Ã\x83Â£o"), (104, "x/Ð¢Ð¸Ñ\x85Ð¸Ð¹ plain Coração"), (104, "x/Ð¢Ð¸Ñ\x85Ð¸Ð¹ plain Coração")]

@@ -3,10 +3,12 @@
 The entries and their other names stand in BK-trees under the
 Damerau-Levenshtein distance, a true metric. A lookup walks only the subtrees
 the triangle inequality leaves open and returns every name within the
-threshold; the nearest wins. A list larger than SHARD names is cut into
-shards, each with its own tree; the winners of the shards are merged. Values
-are looked up once per task and kept, so a value typed a million times costs
-one walk.
+threshold; the nearest wins. A list of up to SHARD names goes to the tasks
+whole, and values are looked up where they stand. A larger one is cut into
+shards, each with its own tree; the distinct values, in blocks, meet every
+shard, and the winners of the shards are merged and joined back. Values
+looked up are kept, so one typed a million times costs few walks. Other names
+of the entries are an input table; the names below are its default.
 
 Defined results: null and blank values yield no row; a value that is exactly
 an entry is not a case; a value with no name within its threshold, or with
@@ -18,14 +20,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names per tree, and the distance allowed by the length of the value.
-SHARD = 20_000
+from ..session import cut_lineage
+
+#: Names per tree, values of a block that meets a shard, values a task keeps the answers of, and the distance allowed by the length of the value.
+SHARD, BLOCK, KEPT = 20_000, 50_000, 200_000
 SLIPS = ((3, 0), (11, 1), (10_000, 2))
 
 # Other names of entries, after a colon, in the languages of the tables.
@@ -110,6 +114,12 @@ _ISO = {"UK": "GB", "US": "US", "Czech Republic": "CZ", "Turkey": "TR", "Cape Ve
 _LANGUAGES = "en pt es fr de it nl sv nb da fi pl cs el tr ru ja ko hu is ga hi".split()
 
 
+def _english_countries(spark: SparkSession) -> list[str]:
+    locale = spark.sparkContext._jvm.java.util.Locale
+    english = locale.forLanguageTag("en")
+    return [locale.forLanguageTag(f"und-{code}").getDisplayCountry(english) for code in locale.getISOCountries()]
+
+
 def country_names(spark: SparkSession, entries: Sequence[str]) -> dict[str, set[str]]:
     """Codes and the names in many languages that the JVM's locales give for each entry."""
     locale = spark.sparkContext._jvm.java.util.Locale
@@ -199,73 +209,105 @@ class BKTree:
 
 
 class Reference:
-    """The names of one field's entries, in shards."""
+    """The names of one field's entries."""
 
     def __init__(self, names: dict[str, set[tuple[int, str]]]):
         self.names = names
-        ordered = sorted(names)
-        self.trees = [BKTree(ordered[i : i + SHARD]) for i in range(0, len(ordered), SHARD)]
-        self.longest = max(map(len, ordered), default=0)
+        self.tree = BKTree(sorted(names))
+        self.longest = max(map(len, names), default=0)
         self.kept: dict[str, int] = {}
 
     def meant(self, value: str) -> int:
         if value not in self.kept:
-            self.kept[value] = self._search(value)
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[value] = chosen(value, self.near(value))
         return self.kept[value]
 
-    def _search(self, value: str) -> int:
+    def near(self, value: str) -> list[tuple[int, int, str]]:
+        """(distance, entry, name) of every name near the value; a negative distance where a form of the value is a name, in the order of the forms."""
         forms = dict.fromkeys((folded(value), light(value), light(value.strip("() []?.")), squashed(value)))
-        for form in forms:
-            if len(ids := {i for i, _ in self.names.get(form, ())}) == 1:
-                return next(iter(ids))
-        best: dict[int, set[tuple[int, str]]] = {}
+        out: list[tuple[int, int, str]] = []
+        for k, form in enumerate(forms):
+            out += [(k - len(forms), i, name) for i, name in self.names.get(form, ())]
         for form in forms:
             most = next((k for length, k in SLIPS if len(form) <= length), SLIPS[-1][1])
             # A form longer than every name by more than the slips is near none.
             if most and len(form) <= self.longest + most:
-                for tree in self.trees:
-                    for d, name in tree.within(form, most):
-                        # Short names take no slip; neither does a name that would lose a third of itself.
-                        if d == 0 or len(name) > 3 and d * 3 < max(len(name), len(form)) + 1:
-                            best.setdefault(d, set()).update(self.names[name])
-        if not best:
-            return -1
-        nearest = best[min(best)]
-        if len({i for i, _ in nearest}) > 1:
-            # Equally near: what is nearer with accents and marks as written.
-            written = value.casefold()
-            apart = {(i, name): distance(written, name.casefold()) for i, name in nearest}
-            nearest = [x for x, d in apart.items() if d == min(apart.values())]
-        ids = {i for i, _ in nearest}
-        return next(iter(ids)) if len(ids) == 1 else -1
-
-
-def references(spark: SparkSession, entries: DataFrame) -> dict[str, dict[str, set[tuple[int, str]]]]:
-    """field -> folded name -> entries with the name as written, from the reference list and the other names of its entries."""
-    out: dict[str, dict[str, set[tuple[int, str]]]] = {}
-    ids: dict[str, dict[str, int]] = {}
-    for r in entries.select("value_id", "field_name", "canonical").dropna().toLocalIterator():
-        ids.setdefault(r["field_name"], {})[r["canonical"]] = r["value_id"]
-    for field, of in ids.items():
-        others: dict[str, set[str]] = {name: {name} for name in of}
-        for line in OTHER_NAMES.get(field, "").strip().splitlines():
+                for d, name in self.tree.within(form, most):
+                    # Short names take no slip; neither does a name that would lose a third of itself.
+                    if d == 0 or len(name) > 3 and d * 3 < max(len(name), len(form)) + 1:
+                        out += [(d, i, of) for i, of in self.names[name]]
+        return out
+
+
+def chosen(value: str, near: Iterable[tuple[int, int, str]]) -> int:
+    """The entry meant among the names near a value, -1 if none or several equally near."""
+    best: dict[int, set[tuple[int, str]]] = {}
+    for d, i, name in near:
+        best.setdefault(d, set()).add((i, name))
+    for d in sorted(d for d in best if d < 0):
+        if len(ids := {i for i, _ in best[d]}) == 1:
+            return next(iter(ids))
+    far = [d for d in best if d >= 0]
+    if not far:
+        return -1
+    nearest = best[min(far)]
+    if len({i for i, _ in nearest}) > 1:
+        # Equally near: what is nearer with accents and marks as written.
+        written = value.casefold()
+        apart = {(i, name): distance(written, name.casefold()) for i, name in nearest}
+        nearest = {x for x, d in apart.items() if d == min(apart.values())}
+    ids = {i for i, _ in nearest}
+    return next(iter(ids)) if len(ids) == 1 else -1
+
+
+_LATEST: list = [None, None]
+
+
+def _held(sent) -> dict[str, Reference]:
+    """The references of a list sent to the tasks, built once per Python process."""
+    if _LATEST[0] is not sent.value:
+        of: dict[str, dict[str, set[tuple[int, str]]]] = {}
+        for field, form, i, name in sent.value:
+            of.setdefault(field, {}).setdefault(form, set()).add((i, name))
+        _LATEST[:] = [sent.value, {field: Reference(names) for field, names in of.items()}]
+    return _LATEST[1]
+
+
+def default_names(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """field_name, canonical, name: the fixed other names, and for countries those of the JVM's locales (some thousands, whatever the list)."""
+    rows = []
+    for field, lines in OTHER_NAMES.items():
+        for line in lines.strip().splitlines():
             name, _, more = line.partition(": ")
-            if name in others:
-                others[name] |= {m.strip() for m in more.split(",")}
-        if field == "country":
-            for name, more in country_names(spark, list(of)).items():
-                others[name] |= more
-        names = out.setdefault(field, {})
-        for name, more in others.items():
-            for m in more:
-                bracketed = {re.sub(r"\s*\(.*\)", "", m)} if field != "media_grade" else set()
-                plural = {m + "s"} if field == "categories" and m == name else set()
-                for x in {m} | bracketed | plural:
-                    # A closing minus tells grades apart and would be lost.
-                    for form in (folded(x), light(x), squashed(x) if not x.endswith("-") else ""):
-                        if form:
-                            names.setdefault(form, set()).add((of[name], x))
-    return out
+            rows += [(field, name, m.strip()) for m in more.split(",")]
+    # Of at most some 250 countries, those that are listed.
+    listed = entries.where((F.col("field_name") == "country") & F.col("canonical").isin([*_ISO, *_english_countries(spark)])).select("canonical").distinct()
+    countries = [r["canonical"] for r in listed.collect()]
+    for name, more in country_names(spark, countries).items():
+        rows += [("country", name, m) for m in sorted(more)]
+    return spark.createDataFrame(rows, "field_name string, canonical string, name string")
+
+
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for field, i, canonical, name in zip(batch["field_name"], batch["value_id"], batch["canonical"], batch["name"]):
+            bracketed = {re.sub(r"\s*\(.*\)", "", name)} if field != "media_grade" else set()
+            plural = {name + "s"} if field == "categories" and name == canonical else set()
+            for x in {name} | bracketed | plural:
+                # A closing minus tells grades apart and would be lost.
+                rows += [(field, form, i, x) for form in {folded(x), light(x), squashed(x) if not x.endswith("-") else ""} if form]
+        yield pd.DataFrame(rows, columns=["field_name", "form", "value_id", "name"])
+
+
+def name_forms(entries: DataFrame, other_names: DataFrame) -> DataFrame:
+    """field_name, form, value_id, name: every form under which an entry may be found."""
+    listed = entries.select("field_name", "value_id", "canonical").dropna().distinct()
+    named = listed.join(other_names.select("field_name", "canonical", "name").dropna().where("trim(name) <> ''"), ["field_name", "canonical"])
+    every = listed.withColumn("name", F.col("canonical")).unionByName(named.select("field_name", "value_id", "canonical", "name"))
+    return every.mapInPandas(_forms, "field_name string, form string, value_id bigint, name string").distinct()
 
 
 def typed_values(records: DataFrame, record_id: str) -> DataFrame:
@@ -282,24 +324,51 @@ def typed_values(records: DataFrame, record_id: str) -> DataFrame:
     return per_field.select("record_id", "field_name", F.posexplode("values").alias("item_no", "typed"))
 
 
-def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, other_names: DataFrame | None = None) -> DataFrame:
     """record_id, field_name, item_no, typed, value_id (-1: none meant) of the values that aren't exactly an entry.
 
-    The reference list goes to the tasks as one object; SHARD bounds a tree,
-    and the list is the one of the reference table, whose size doesn't follow
-    that of the records.
+    `other_names` (field_name, canonical, name): how else entries are called; default_names where absent.
     """
     spark = values.sparkSession
-    names = references(spark, entries)
-    exact = {(r["field_name"], r["canonical"]) for r in entries.select("field_name", "canonical").dropna().toLocalIterator()}
+    forms = cut_lineage(name_forms(entries, default_names(spark, entries) if other_names is None else other_names))
+    exact = entries.select("field_name", F.col("canonical").alias("typed")).dropna().distinct()
+    if forms.limit(SHARD + 1).count() > SHARD:
+        cases = values.join(exact, ["field_name", "typed"], "left_anti")
+        return cases.join(_by_shards(cases.select("field_name", "typed").distinct(), forms), ["field_name", "typed"]).select("record_id", "field_name", "item_no", "typed", "value_id")
+    sent = spark.sparkContext.broadcast([tuple(r) for r in forms.select("field_name", "form", "value_id", "name").collect()])
+    known = spark.sparkContext.broadcast({tuple(r) for r in exact.join(forms.select("field_name").distinct(), "field_name", "left_semi").select("field_name", "typed").collect()})
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {field: Reference(of) for field, of in names.items()}
-        none = Reference({})
+        held, none = _held(sent), Reference({})
         for batch in batches:
-            case = [(f, t) not in exact for f, t in zip(batch["field_name"], batch["typed"])]
-            out = batch[case].copy()
+            out = batch[[(f, t) not in known.value for f, t in zip(batch["field_name"], batch["typed"])]].copy()
             out["value_id"] = [held.get(f, none).meant(t) for f, t in zip(out["field_name"], out["typed"])]
             yield out
 
-    return values.mapInPandas(look_up, "record_id bigint, field_name string, item_no int, typed string, value_id bigint")
+    return values.select("record_id", "field_name", "item_no", "typed").mapInPandas(look_up, "record_id bigint, field_name string, item_no int, typed string, value_id bigint")
+
+
+def _by_shards(typed: DataFrame, forms: DataFrame) -> DataFrame:
+    """field_name, typed, value_id of distinct values: every block of values meets every shard of names, the nearest of all shards wins."""
+    shards = max(1, -(-forms.count() // SHARD))
+    typed = cut_lineage(typed)
+    blocks = max(1, -(-typed.count() // BLOCK))
+    values = typed.withColumn("block", F.pmod(F.xxhash64("field_name", "typed"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    names = forms.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def meet(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        of: dict[str, dict[str, set[tuple[int, str]]]] = {}
+        for field, form, i, name in zip(listed["field_name"], listed["form"], listed["value_id"], listed["name"]):
+            of.setdefault(field, {}).setdefault(form, set()).add((i, name))
+        held = {field: Reference(x) for field, x in of.items()}
+        rows = [(f, t, d, i, name) for f, t in zip(asked["field_name"], asked["typed"]) if f in held for d, i, name in held[f].near(t)]
+        return pd.DataFrame(rows, columns=["field_name", "typed", "d", "i", "name"])
+
+    near = values.groupBy("shard", "block").cogroup(names.groupBy("shard", "block")).applyInPandas(meet, "field_name string, typed string, d int, i bigint, name string")
+    near = near.groupBy("field_name", "typed").agg(F.collect_set(F.struct("d", "i", "name")).alias("near"))
+
+    @F.pandas_udf("bigint")
+    def choose(value: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([-1 if n is None else chosen(v, [(x["d"], x["i"], x["name"]) for x in n]) for v, n in zip(value, of)], dtype="int64")
+
+    return typed.join(near, ["field_name", "typed"], "left").select("field_name", "typed", choose("typed", "near").alias("value_id"))

@@ -8,10 +8,10 @@ sources leave is shared out among the others by their targets, so that the
 mixture keeps its size where that is possible. Complete epochs of a source
 come first, then the documents with the least keys until the rest is filled.
 
-Running sums are formed in slices: keys fall into SLICES ranges of equal
-probability, sums per source and slice make a small table (at most sources x
-SLICES rows) that gives every slice its start, and only within a slice rows
-are ordered. A source with a third of all rows is spread over all its slices.
+Running sums are formed over ranges of source and key, cut at sampled
+quantiles: sums per range make a small table that gives every range its
+start, and only within a range rows are ordered. A source with a third of all
+rows is spread over as many ranges as its rows fill.
 
 Defined results: null or empty text has no tokens and is never chosen;
 documents of no source or of a source that isn't listed don't take part; a
@@ -29,11 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import running
 from ..session import cut_lineage
 from .stuffing import measure
 
-#: Slices of a source's keys, least quality weight, seed of the keys.
-SLICES, LEAST_QUALITY, SEED = 1024, 0.05, 42
+#: Least quality weight, seed of the keys.
+LEAST_QUALITY, SEED = 0.05, 42
 
 
 def default_vocabulary() -> str:
@@ -44,21 +45,25 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
-    import public_tokenizers
+def _encoding(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("counting", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("counting", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, source, tokens, quality: tokens of the whole text, and the share of it that isn't stuffed."""
-    path = vocabulary or default_vocabulary()
+    """doc_id, source, tokens, quality: tokens of the whole text, and the share of it that isn't stuffed.
+
+    The vocabulary is read where the query is made and sent to the executors; its size is that of a tokenizer, whatever the data.
+    """
+    import public_tokenizers
+
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast((f.read(), public_tokenizers.PATTERN))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(path)
+        encoding = _encoding(*sent.value)
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             out = batch[["doc_id", "source"]].copy()
@@ -96,29 +101,23 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None)
     sources = listed.select("source").distinct()
     counted = count_tokens(documents.join(F.broadcast(sources), "source", "left_semi"), vocabulary)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = counted.where("tokens > 0").withColumn("key", -F.log(uniform) / F.col("quality"))
-    keyed = cut_lineage(keyed.withColumn("slice", F.floor(F.lit(SLICES) * (1 - F.exp(-F.col("key")))).cast("int")))
-    sums = keyed.groupBy("source", "slice").agg(F.sum("tokens").alias("slice_tokens"))
-    sums = cut_lineage(sums)
+    keyed = cut_lineage(counted.where("tokens > 0").withColumn("key", -F.log(uniform) / F.col("quality")))
+    available = cut_lineage(keyed.groupBy("source").agg(F.sum("tokens").alias("available_tokens")))
     # One row per listed source: what the driver needs to set the budgets.
-    held = {r["source"]: r["t"] for r in sums.groupBy("source").agg(F.sum("slice_tokens").alias("t")).toLocalIterator()}
+    held = {r["source"]: r["available_tokens"] for r in available.toLocalIterator()}
     aims = [(r["source"], r["target_share"], r["max_repeats"]) for r in listed.toLocalIterator()]
     plan = budgets(aims, held)
     rows = [(s, float(b), int(b // held[s]) if held.get(s) else 0, b - (b // held[s]) * held[s] if held.get(s) else 0.0) for s, b in plan.items()]
     spark = documents.sparkSession
     planned = spark.createDataFrame(rows or [], "source string, budget double, epochs int, rest double")
 
-    before = F.sum("slice_tokens").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("source", "slice", F.coalesce(before, F.lit(0)).alias("start"))
-    # At most sources x SLICES rows.
-    placed = keyed.join(F.broadcast(starts), ["source", "slice"]).join(F.broadcast(planned), "source")
-    within = F.sum("tokens").over(Window.partitionBy("source", "slice").orderBy("key", "doc_id"))
-    reached = F.col("start") + within - F.col("tokens")
+    ordered = running(keyed, "source", [F.col("key"), F.col("doc_id")], F.col("tokens"), "reached", "place")
+    # One row per listed source.
+    placed = ordered.join(F.broadcast(planned), "source")
     # The last document is taken if that comes nearer to the budget.
-    times = F.col("epochs") + (reached + F.col("tokens") / 2 < F.col("rest")).cast("int")
+    times = F.col("epochs") + (F.col("reached") - F.col("tokens") / 2 < F.col("rest")).cast("int")
     chosen = placed.select("doc_id", "source", "tokens", times.alias("times")).where("times > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("reached_tokens"), F.sum("times").alias("documents"))
-    available = sums.groupBy("source").agg(F.sum("slice_tokens").alias("available_tokens"))
     report = listed.join(available, "source", "left").join(got, "source", "left").join(F.broadcast(planned), "source", "left").na.fill(
         0, ["available_tokens", "reached_tokens", "documents"]
     )

@@ -42,6 +42,18 @@ def test_typed_values(spark):
     assert canonical.map_values(canonical.typed_values(df.limit(0), "id"), ref).count() == 0
 
 
+def test_shards_say_what_one_tree_says(spark, monkeypatch):
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(4, 9)))
+    entries = spark.createDataFrame([(i, "city", n) for i, n in enumerate(sorted({name() for _ in range(120)}))], "value_id long, field_name string, canonical string")
+    others = spark.createDataFrame([("city", r["canonical"], r["canonical"][::-1]) for r in entries.limit(20).collect()] + [("gone", "x", "y"), (None, None, None)], "field_name string, canonical string, name string")
+    values = spark.createDataFrame([(i, "city", 0, name()) for i in range(300)] + [(900, "nowhere", 0, "x")], "record_id long, field_name string, item_no int, typed string")
+    whole = sorted(map(tuple, canonical.map_values(values, entries, others).collect()))
+    monkeypatch.setattr(canonical, "SHARD", 40)
+    monkeypatch.setattr(canonical, "BLOCK", 70)
+    assert sorted(map(tuple, canonical.map_values(values, entries, others).collect())) == whole and sum(r[4] >= 0 for r in whole) > 30
+
+
 def test_very_long_typed_values():
     of = canonical.Reference({"brazil": {(9, "Brazil")}})
     assert of.meant("x" * 10_001) == of.meant("brazil " * 30_000) == -1 and of.meant("brazol") == 9

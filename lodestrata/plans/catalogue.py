@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casing, evidence, signals, text
 from ..operators import alignment, compatibility, relational, sequences
 from ..session import table
-from . import training
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from . import quality, training
+from .registry import QUERIES, SQL, Query, query
 
 def _standing(s: SparkSession, d: str) -> DataFrame:
     return relational.latest_per(table(s, d, "orders").where("o_orderstatus <> 'P'"), ["o_custkey"], "o_orderkey")
@@ -516,8 +500,8 @@ def edition_alignment(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | training.queries()
+    return QUERIES | training.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | training.oracle_sql()
+    return SQL | training.oracle_sql()

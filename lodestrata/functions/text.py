@@ -29,6 +29,15 @@ def fold_accents(text: Column | str) -> Column:
     return F.pandas_udf(_folded, "string")(text)
 
 
+def nfc(text: Column | str) -> Column:
+    """The composed Unicode form; null stays null."""
+
+    def run(series: pd.Series) -> pd.Series:
+        return series.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         if x is None or y is None:

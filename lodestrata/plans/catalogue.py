@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import casing, evidence, signals, text
 from ..operators import alignment, compatibility, relational, sequences
 from ..session import table
-from . import quality, training
+from . import library, quality, training
 from .registry import QUERIES, SQL, Query, query
 
 def _standing(s: SparkSession, d: str) -> DataFrame:

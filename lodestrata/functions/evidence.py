@@ -15,9 +15,10 @@ def weighted_mean(parts: list[tuple[Column, float]], digits: int = 4) -> Column:
     return F.bround(F.try_divide(total, F.nullif(weight, F.lit(0.0))), digits)
 
 
-def year_agreement(a: Column, b: Column) -> Column:
-    """1 for the same year, 0.8 for a year apart, 0 beyond; null where a year is absent."""
-    gap = F.abs(a - b)
+def year_agreement(a: Column, *others: Column) -> Column:
+    """1 for the same year, 0.8 for a year apart, 0 beyond, by the nearest of the others; null where there is none to compare."""
+    gaps = [F.abs(a - b) for b in others]
+    gap = gaps[0] if len(gaps) == 1 else F.least(*gaps)
     return F.when(gap == 0, 1.0).when(gap == 1, 0.8).when(gap.isNotNull(), 0.0)
 
 

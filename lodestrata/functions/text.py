@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
 import pandas as pd
@@ -38,22 +37,6 @@ def nfc(text: Column | str) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        if x is None or y is None:
-            return None
-        if sorted(x.split()) == sorted(y.split()):
-            return 1.0
-        return round(difflib.SequenceMatcher(None, x, y).ratio(), 4)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def similarity(a: Column | str, b: Column | str) -> Column:
-    """Ratcliff-Obershelp ratio of two folded texts, 1 where they hold the same words; null where one is null."""
-    return F.pandas_udf(_ratio, "double")(a, b)
-
-
 def partial_date(text: Column) -> Column:
     """year[-month[-day]] as a date; absent or zero parts are 1, anything else is null."""
     def part(i: int) -> Column:
@@ -98,6 +81,11 @@ def words_all_in(haystack: Column, needles: str) -> Column:
     return out
 
 
+def folded_query(query: str) -> str:
+    """A typed query as fold_accents leaves texts."""
+    return _folded(pd.Series([query]))[0]
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """A template with %name% fields; text in braces is left out where one of its fields is null or empty."""
     def filled(part: str) -> tuple[Column, list[Column]]:

@@ -7,12 +7,12 @@ Null arrays and null durations agree with nothing.
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.matching import title_likeness
+
 #: Milliseconds within which durations agree, and within which they may stand in order; least likeness of titles and its lead.
 AGREE_MS, ORDER_MS, ALIKE, LEAD = 6_000, 15_000, 0.8, 0.05
 
@@ -30,22 +30,26 @@ def agreeing(a: list[int | None] | None, b: list[int | None] | None, tolerance:
     return n
 
 
-def likeness(a: str, b: str) -> float:
-    a, b = a.casefold(), b.casefold()
-    if sorted(a.split()) == sorted(b.split()):
-        return 1.0
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+def _names_another(name: str | None, place: int, tracks: list[tuple[str | None, int | None]]) -> bool:
+    """Whether a file is named for another track than the one in its place."""
+    if not name:
+        return False
+    own = title_likeness(name, tracks[place][0]) if tracks[place][0] else 0.0
+    return own < ALIKE and any(t[0] and title_likeness(name, t[0]) >= ALIKE for k, t in enumerate(tracks) if k != place)
 
 
 def align(files: list[tuple[str | None, int | None]], tracks: list[tuple[str | None, int | None]]) -> tuple[str, list[int]]:
     """How the files were assigned (place, title, duration or none) and the track of each, -1 where it has none."""
     if not files or not tracks:
         return "none", [-1] * len(files)
-    if len(files) == len(tracks) and all(f[1] is not None and t[1] is not None and abs(f[1] - t[1]) <= ORDER_MS for f, t in zip(files, tracks)):
+    by_length = len(files) == len(tracks) and all(f[1] is not None and t[1] is not None and abs(f[1] - t[1]) <= ORDER_MS for f, t in zip(files, tracks))
+    if by_length and not any(_names_another(f[0], k, tracks) for k, f in enumerate(files)):
         return "place", list(range(len(files)))
+    if len(files) == len(tracks) and not any(t[1] for t in tracks) and all(f[0] and t[0] and title_likeness(f[0], t[0]) >= ALIKE for f, t in zip(files, tracks)):
+        return "titled place", list(range(len(files)))
     chosen = []
     for name, _ in files:
-        scores = sorted(((likeness(name, t[0]), -k) for k, t in enumerate(tracks) if name and t[0]), reverse=True)
+        scores = sorted(((title_likeness(name, t[0]), -k) for k, t in enumerate(tracks) if name and t[0]), reverse=True)
         sure = scores and scores[0][0] >= ALIKE and (len(scores) == 1 or scores[0][0] - scores[1][0] >= LEAD)
         chosen.append(-scores[0][1] if sure else -1)
     named = [c for c in chosen if c >= 0]

@@ -18,6 +18,13 @@ def neighbours(number: Column, ring: Column) -> Column:
     return F.array(code(number, ring), code(number % 12 + 1, ring), code((number + 10) % 12 + 1, ring), code(number, other))
 
 
+def key_relation(number: Column, ring: Column, other: Column, other_ring: Column) -> Column:
+    """same, relative, up or down of two codes of the wheel; null where they don't mix."""
+    return F.when((number == other) & (ring == other_ring), "same").when(number == other, "relative").when((ring == other_ring) & (other == number % 12 + 1), "up").when(
+        (ring == other_ring) & (number == other % 12 + 1), "down"
+    )
+
+
 def tempo_relation(source: Column, target: Column) -> Column:
     """same, double or half, the first that holds; null where a tempo is absent or not positive."""
     def near(x: Column) -> Column:

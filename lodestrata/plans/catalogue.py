@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casing, evidence, signals, text
+from ..functions import casing, evidence, matching, signals, text
 from ..operators import alignment, compatibility, relational, sequences
 from ..session import table
-from . import library, quality, training
+from . import library, linkage, quality, shelf, training
 from .registry import QUERIES, SQL, Query, query
 
 def _standing(s: SparkSession, d: str) -> DataFrame:
@@ -439,7 +439,7 @@ def similarity_ratio(s, d):
     """How alike different part names are that share their last word."""
     names = table(s, d, "part").select("p_name").distinct().withColumn("last", F.element_at(F.split("p_name", " "), -1))
     pairs = names.select("last", F.col("p_name").alias("one")).join(names.select("last", F.col("p_name").alias("other")), "last").where("one < other")
-    return pairs.select("one", "other", text.similarity("one", "other").alias("ratio"))
+    return pairs.select("one", "other", matching.similarity("one", "other").alias("ratio"))
 
 
 @query()

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestrata.functions import evidence, signals, text
+from lodestrata.functions import evidence, matching, signals, text
 
 
 def one(spark, value, f, kind="string"):
@@ -16,7 +16,7 @@ def test_text(spark):
     assert one(spark, "3:05", text.duration_ms) == 185000 and one(spark, "1500", text.duration_ms) == 1500 and one(spark, "3:5", text.duration_ms) is None
     assert one(spark, "07/12", text.number_of) == 7 and one(spark, "A1", text.number_of) is None
     assert len(one(spark, "ã" * 400, text.within_bytes).encode()) <= 255 and one(spark, "a/b", text.within_bytes) == "a_b"
-    df = spark.createDataFrame([("a b", "b a"), ("abc", "abd"), (None, "x")], "a string, b string").select(text.similarity("a", "b").alias("s"))
+    df = spark.createDataFrame([("a b", "b a"), ("abc", "abd"), (None, "x")], "a string, b string").select(matching.similarity("a", "b").alias("s"))
     assert [r["s"] for r in df.collect()] == [1.0, 0.6667, None]
     t = spark.createDataFrame([("t", None), ("t", 1999)], "title string, year int")
     out = t.select(text.render("%title%{ (%year%)}", {"title": F.col("title"), "year": F.col("year")}).alias("r"))

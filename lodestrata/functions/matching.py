@@ -114,7 +114,8 @@ def vetoed(titles_agreeing: Column, titles_compared: Column, duration: Column) -
 
 def text_score(s: dict[str, Column], titles: bool = True) -> Column:
     """Mean of the signals present, by weight; the plain likeness where there is none."""
-    named = F.least(F.lit(1.0), s["title"] + F.when(s["in_order"], ORDER_BONUS).otherwise(0.0))
+    # `least` passes over nulls.
+    named = F.when(s["title"].isNotNull(), F.least(F.lit(1.0), s["title"] + F.when(s["in_order"], ORDER_BONUS).otherwise(0.0)))
     parts = [(s["album"], ALBUM), (s["artist"], ARTIST), *([(named, TITLES)] if titles else []), (s["year"], YEAR)]
     return F.coalesce(weighted_mean(parts, 15), s["text"])
 

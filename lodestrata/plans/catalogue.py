@@ -446,7 +446,8 @@ def similarity_ratio(s, d):
 def key_and_tempo(s, d):
     """Key and tempo of sampled signals; here of arrays repeated to a signal of 64 x 256 samples."""
     samples = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 256))
-    return table(s, d, "embeddings").select("vec_id", signals.measure_key(samples, 11025).alias("k"), signals.measure_tempo(samples, 11025).alias("bpm")).select("vec_id", "k.*", "bpm")
+    measured = table(s, d, "embeddings").select("vec_id", signals.measure_key(samples, 11025).alias("k"), signals.measure_tempo(samples, 11025).alias("t"))
+    return measured.select("vec_id", "k.*", signals.camelot(F.col("k.tonic"), F.col("k.mode")).alias("code"), "t.bpm", F.col("t.confidence").alias("beat"), "t.twin_bpm")
 
 
 @query()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 AUDIO = ("flac", "mp3", "wav", "aiff", "aif", "m4a", "ogg", "opus", "ape", "wv")
 
@@ -17,7 +19,9 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> Data
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    out = out.where(~F.col("path").rlike(r"/\.[^/]+"))
+    # Hidden below the root, whatever the root itself is called.
+    plain_root = re.sub("^file:/*", "/", root).rstrip("/")
+    out = out.where(~F.substring("path", len(plain_root) + 1, 1_000_000).rlike(r"/\.[^/]+"))
     for prefix in excluded:
         out = out.where(~F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
     name = F.element_at(F.split("path", "/"), -1)
@@ -27,6 +31,23 @@ def scan(spark: SparkSession, root: str, excluded: tuple[str, ...] = ()) -> Data
     )
 
 
+def disc_units(files: DataFrame) -> DataFrame:
+    """unit, n_audio, n_discs, kind: folders with audio, discs counted to the folder around them.
+
+    album: audio of its own; multi-disc: discs only; container: no audio of its
+    own but several folders with audio below; ambiguous: both of its own and in discs.
+    """
+    units = folder_units(files)
+    unit = F.when(F.col("is_disc"), F.regexp_replace("folder", "/[^/]*$", "")).otherwise(F.col("folder"))
+    grouped = units.groupBy(unit.alias("unit")).agg(
+        F.sum("n_audio").alias("n_audio"), F.count_if("is_disc").alias("n_discs"), F.count_if(~F.col("is_disc")).alias("own")
+    )
+    around = grouped.groupBy(F.regexp_replace("unit", "/[^/]*$", "").alias("unit")).agg(F.count("*").alias("n_units"), F.sum("n_audio").alias("n_below"))
+    containers = around.join(grouped.select("unit"), "unit", "left_anti").where("n_units > 1").select("unit", F.col("n_below").alias("n_audio"), F.lit(0).cast("bigint").alias("n_discs"), F.lit("container").alias("kind"))
+    kind = F.when((F.col("n_discs") > 0) & (F.col("own") > 0), "ambiguous").when(F.col("n_discs") > 0, "multi-disc").otherwise("album")
+    return grouped.select("unit", "n_audio", "n_discs", kind.alias("kind")).unionByName(containers)
+
+
 def folder_units(files: DataFrame) -> DataFrame:
     """folder, n_audio, n_companions, is_disc: folders with audio, and whether they are one disc of the folder around them."""
     audio = F.col("extension").isin(*AUDIO)
@@ -64,9 +85,13 @@ def read_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 out.append((reader.line_num, [c.strip() or None for c in cells] + [None] * (width - len(cells))))
         return out
 
-    kind = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(rows)
+
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.select("path", F.inline(F.udf(rows, kind)("content")))
+    # One file is a row and its rows stay with it: tables typed by people, which fit a task.
+    read = F.pandas_udf(run, "array<struct<line_no:int,cells:array<string>>>")
+    return files.select("path", F.inline(read("content")))
 
 
 def with_header(rows: DataFrame) -> DataFrame:

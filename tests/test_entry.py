@@ -49,6 +49,10 @@ def test_scan(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_bytes(b"x")
     units = files.folder_units(files.scan(spark, str(tmp_path), (f"{tmp_path}/skip",)))
+    kinds = {r["unit"].rsplit("/", 1)[-1]: (r["kind"], r["n_audio"]) for r in files.disc_units(files.scan(spark, str(tmp_path), (f"{tmp_path}/skip",))).collect()}
+    assert kinds == {"A": ("multi-disc", 1), "B": ("album", 1), tmp_path.name: ("container", 2)}
+    hidden = tmp_path / ".hidden"
+    assert [r["name"] for r in files.scan(spark, str(hidden)).collect()] == ["3.mp3"]
     assert sorted((r["folder"].rsplit("/", 1)[-1], r["n_audio"], r["n_companions"], r["is_disc"]) for r in units.collect()) == [("B", 1, 0, False), ("CD1", 1, 1, True)]
 
 

@@ -69,8 +69,33 @@ def test_signals(spark):
     for i in range(0, len(clicks) - 400, rate // 2):
         clicks[i : i + 400] = np.sin(np.arange(400)) * np.exp(-np.arange(400) / 80)
     assert signals.key_of(chord, rate)[:2] == (0, "major")
-    assert abs(signals.tempo_of(clicks, rate) - 120) < 3
+    assert abs(signals.tempo_of(clicks, rate)[0] - 120) < 3
     assert signals.key_of(np.zeros(20000), rate) is None and signals.tempo_of(np.zeros(20000), rate) is None
     df = spark.createDataFrame([([1.0, 1.0, 2.0, 3.0, 50.0],), ([1.0],), (None,), ([2.0, 2.0],)], "v array<double>")
     got = df.select(signals.robust_peak(F.col("v")).alias("p"), signals.steepest_fall(F.col("v")).alias("f")).collect()
     assert abs(got[0]["p"] - 48 / 1.4826) < 1e-9 and got[1]["f"] is None and got[2]["p"] is None and got[3]["p"] is None
+
+
+def test_wheel(spark):
+    tones = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+    df = spark.createDataFrame([(i, m) for i in range(12) for m in ("major", "minor")], "t int, m string").select("t", "m", signals.camelot(F.col("t"), F.col("m")).alias("c"))
+    codes = {(tones[r["t"]], r["m"]): r["c"] for r in df.collect()}
+    assert codes["C", "major"] == "8B" and codes["A", "minor"] == "8A" and codes["B", "major"] == "1B" and codes["E", "major"] == "12B" and codes["C#", "minor"] == "12A" and codes["G#", "minor"] == "1A"
+    assert len(set(codes.values())) == 24
+
+
+def test_spelling_and_ladder(spark):
+    from lodestrata.functions import naming
+
+    assert naming.words_apart("Paper Lantern", "Paper Lanterns") == "slip" and naming.words_apart("From Here", "For Here") == "word" and naming.words_apart("Sea", "Sky") == ""
+    assert naming.spelling("cancao do AVO", "Canção do Avô") == "Canção do Avô" and naming.spelling("CANÇÃO", "Cancao") == "Canção" and naming.spelling(None, "x") == "x" and naming.spelling("a", "b") == "b"
+    df = spark.createDataFrame([("Ana", "Ebb and Flow - Tide (Live)")], "a string, t string")
+    rungs = [tuple(q) for q in df.select(naming.query_ladder(F.col("a"), F.col("t"), F.col("a"), F.col("t")).alias("l")).first()["l"]]
+    assert rungs[0] == ("Ana", "Ebb and Flow - Tide (Live)", None) and ("Ana", "Ebb and Flow - Tide", None) in rungs and ("Ebb and Flow", "Tide", None) in rungs
+    assert ("Ana", "Ebb & Flow - Tide", None) in rungs and len(rungs) == len(set(rungs)) <= 12
+
+
+def test_titles_agree():
+    local, tracks = ["Blue Garden", "Red River", "Night"], ["Blue Garden (Remastered)", "Red River", "Nigth", "Bonus"]
+    assert matching.agreeing_titles(local, tracks) == (3, True) and matching.agreeing_titles(local[::-1], tracks) == (3, False)
+    assert matching.agreeing_titles(None, tracks) == (0, False) and matching.likeness("São & João", "joao and sao") == 1.0 and matching.likeness("", "x") == 0.0

@@ -176,7 +176,9 @@ def find_leaks(items: DataFrame, documents: DataFrame, item_id: str = "item_id",
     total = index.count()
     weight = F.log1p(F.lit(float(total)) / F.col("n")) / F.log1p(F.lit(float(max(total, 1))))
     weighed = placed.join(held, "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", weight.alias("w")))).alias("w"))
-    weighed = index.join(weighed, "item_id").select("item_id", "words", F.col("w.w").alias("weights"))
+    # Half of a hash is enough where places are compared one to one.
+    short = F.transform("words", lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    weighed = index.join(weighed, "item_id").select("item_id", short.alias("words"), F.transform("w.w", lambda w: w.cast("float")).alias("weights"))
 
     @F.pandas_udf("array<struct<seed:bigint,place:int>>")
     def cut(words: pd.Series) -> pd.Series:
@@ -203,19 +205,20 @@ def find_leaks(items: DataFrame, documents: DataFrame, item_id: str = "item_id",
                 h, at = seeds_of(words, known_words)
                 hit = _held(of_seeds.value, h)
                 if hit.any():
-                    rows.append((d, _signed(words).tolist(), _signed(h[hit]).tolist(), at[hit].tolist()))
+                    rows.append((d, (words & np.uint64(0x7FFFFFFF)).astype(np.int32).tolist(), _signed(h[hit]).tolist(), at[hit].tolist()))
             yield pd.DataFrame(rows, columns=["doc_id", "doc_words", "seeds", "at"])
 
-    kind = "doc_id bigint, doc_words array<bigint>, seeds array<bigint>, at array<int>"
+    kind = "doc_id bigint, doc_words array<int>, seeds array<bigint>, at array<int>"
     found = documents.select(doc_id, text).where(f"{text} <> ''").mapInPandas(scan, kind)
     # Documents under one id are told apart.
     found = cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.inline(F.arrays_zip(F.col("seeds").alias("seed"), "at")))
     met = hits.groupBy("seed").agg(F.count("*").alias("n_hits")).join(seeds.groupBy("seed").agg(F.count("*").alias("n_items")), "seed")
-    parts = met.select("seed", F.ceil(F.col("n_hits") * F.col("n_items") / F.lit(DEALT)).cast("int").alias("parts"))
-    left = hits.join(parts, "seed").withColumn("part", F.pmod(F.hash("row", "at"), "parts"))
-    right = seeds.join(parts, "seed").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    diagonals = left.join(right.drop("parts"), ["seed", "part"]).select("item_id", "row", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    asked = diagonals.groupBy("item_id", "row").agg(F.collect_list("shift").alias("shifts"))
+    # Only seeds with more meetings than one task is to make are dealt out; few, so that their join is a small one.
+    parts = cut_lineage(met.select("seed", F.ceil(F.col("n_hits") * F.col("n_items") / F.lit(DEALT)).cast("int").alias("parts")).where("parts > 1"))
+    left = hits.join(parts, "seed", "left").withColumn("part", F.pmod(F.hash("row", "at"), F.coalesce("parts", F.lit(1))))
+    right = seeds.join(parts, "seed", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    diagonals = left.drop("parts").join(right.drop("parts"), ["seed", "part"]).select("item_id", "row", (F.col("at") - F.col("place")).alias("shift"))
+    asked = diagonals.groupBy("item_id", "row").agg(F.collect_set("shift").alias("shifts"))
     asked = asked.join(found.select("row", "doc_id", "doc_words"), "row").join(weighed, "item_id")
     return spread(asked, "row", "item_id").select("item_id", "doc_id", "shifts", "words", "weights", "doc_words").mapInPandas(_verify, "item_id bigint, doc_id bigint").distinct()

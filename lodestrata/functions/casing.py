@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 # Words that join others, by language.
 JOINING = {
-    "pt": frozenset("a à às ao aos o os as e ou nem de do dos da das em no nos na nas num numa por pelo pela pelos pelas para pra com sem".split()),
+    "pt": frozenset(
+        "a à às ao aos o os as e ou nem de do dos da das d' em no nos na nas num numa nuns numas por pelo pela pelos pelas para pra pro pras pros com sem".split()
+    ),
     "en": frozenset("a an the and or nor but of in on at to by for from with".split()),
-    "es": frozenset("a al el la los las un una y e o u ni de del en por para con sin".split()),
+    "es": frozenset("de del la las el los y e o u en con por para a al sin".split()),
 }
 
 _PART = re.compile(r"([:;/(\[–—]|\s-\s)")

@@ -450,12 +450,16 @@ def key_and_tempo(s, d):
     return measured.select("vec_id", "k.*", signals.camelot(F.col("k.tonic"), F.col("k.mode")).alias("code"), "t.bpm", F.col("t.confidence").alias("beat"), "t.twin_bpm")
 
 
-@query()
+@query("""
+with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i from embeddings), m as (select vec_id, median(v) as mid, max(v) as top from x group by 1),
+d as (select vec_id, any_value(mid) as mid, any_value(top) as top, median(abs(v - mid)) as mad from x join m using (vec_id) group by 1), s as (select vec_id, i, v - lead(v) over (partition by vec_id order by i) as fall from x),
+f as (select vec_id, max(fall) as fall, arg_max(i, struct_pack(f := fall, p := -i)) as i from s where fall is not null group by 1)
+select vec_id, round((top - mid) / nullif(mad * 1.4826, 0), 6) as peak, cast(i - 1 as integer) as place, round(fall, 9) as fall from d join f using (vec_id)""")
 def spectrum_summaries(s, d):
     """Robust peak and steepest fall of arrays of levels."""
     levels = F.col("embedding").cast("array<double>")
     fall = signals.steepest_fall(levels)
-    return table(s, d, "embeddings").select("vec_id", signals.robust_peak(levels).alias("peak"), fall["place"].alias("place"), fall["fall"].alias("fall"))
+    return table(s, d, "embeddings").select("vec_id", F.round(signals.robust_peak(levels), 6).alias("peak"), fall["place"].alias("place"), F.round(fall["fall"], 9).alias("fall"))
 
 
 @query(r"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import evidence, matching, naming
-from ..operators import relational
+from ..functions import evidence, matching, naming, text
+from ..operators import relational, sequences
 from ..session import table
 from .registry import query
 
@@ -131,8 +131,6 @@ def folder_hints(s, d):
 @query()
 def query_ladder(s, d):
     """The queries worth trying for each release, from specific to loose."""
-    from ..functions import text
-
     r = table(s, d, "metadata_releases").where("title is not null")
     a, t = F.col("primary_artist"), F.col("title")
     ladder = naming.query_ladder(a, t, text.fold_accents(a), text.fold_accents(t))
@@ -248,3 +246,37 @@ def spelling_variants(s, d):
     r = table(s, d, "physical_records").where("release_row_id is not null").select("id", "album", F.col("release_row_id").alias("r"))
     joined = r.join(table(s, d, "metadata_releases").select(F.col("id").alias("r"), "title"), "r")
     return joined.select("id", naming.apart("album", "title").alias("apart"), naming.resolved("album", "title").alias("kept"))
+
+
+@query("""
+with t as (select o_orderkey, case o_orderkey % 4 when 0 then (o_orderkey % 90) || ':' || lpad(cast(o_orderkey % 60 as varchar), 2, '0') when 1 then cast(o_orderkey * 10 as varchar)
+when 2 then '1:' || lpad(cast(o_orderkey % 60 as varchar), 2, '0') || ':07' else o_orderkey || '/x' end as written from orders)
+select o_orderkey, cast(case when regexp_matches(written, '^[0-9]+$') then try_cast(written as bigint) when regexp_matches(written, '^[0-9]{1,3}:[0-9]{2}$') then 1000 * (60 * cast(split_part(written, ':', 1) as bigint) + cast(split_part(written, ':', 2) as bigint))
+when regexp_matches(written, '^[0-9]{1,3}:[0-9]{2}:[0-9]{2}$') then 1000 * (3600 * cast(split_part(written, ':', 1) as bigint) + 60 * cast(split_part(written, ':', 2) as bigint) + cast(split_part(written, ':', 3) as bigint)) end as bigint) as ms,
+try_cast(nullif(regexp_extract(written, '^\\s*([0-9]{1,9})', 1), '') as integer) as number from t""")
+def written_numbers(s, d):
+    """Lengths and numbers as people write them."""
+    k = F.col("o_orderkey")
+    two = F.lpad((k % 60).cast("string"), 2, "0")
+    written = F.when(k % 4 == 0, F.concat((k % 90).cast("string"), F.lit(":"), two)).when(k % 4 == 1, (k * 10).cast("string")).when(k % 4 == 2, F.concat(F.lit("1:"), two, F.lit(":07"))).otherwise(F.concat(k.cast("string"), F.lit("/x")))
+    return table(s, d, "orders").select("o_orderkey", written.alias("w")).select("o_orderkey", text.duration_ms(F.col("w")).alias("ms"), text.number_of(F.col("w")).alias("number"))
+
+
+@query("""
+with x as (select l_orderkey, l_linenumber || case when l_suppkey % 3 = 0 then 'a' when l_suppkey % 3 = 1 then '.2' else '' end as idx, case when l_tax > 0 then l_quantity end as q from lineitem)
+select l_orderkey, regexp_extract(idx, '^\\s*([A-Za-z]?\\d+?)(?:[a-z]|\\.\\d+)?\\s*$', 1) as base, count(*) as parts, case when count(q) = count(*) then sum(q) end as q from x group by 1, 2""")
+def merged_parts(s, d):
+    """Parts of one member as one; their sum only where every part has an amount."""
+    suffix = F.when(F.col("l_suppkey") % 3 == 0, "a").when(F.col("l_suppkey") % 3 == 1, ".2").otherwise("")
+    rows = table(s, d, "lineitem").select("l_orderkey", F.concat(F.col("l_linenumber").cast("string"), suffix).alias("idx"), F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("q"))
+    return sequences.merge_parts(rows, "l_orderkey", "idx", "q")
+
+
+@query()
+def bands_and_edges(s, d):
+    """Where each signal stops and how full its top band is; here of arrays repeated to a signal."""
+    from ..functions import signals
+
+    samples = F.flatten(F.array_repeat(F.col("embedding").cast("array<double>"), 512))
+    measured = table(s, d, "embeddings").select("vec_id", signals.measure_edge(samples, 44100).alias("e"), signals.measure_top_band(samples, 44100).alias("top_db"))
+    return measured.select("vec_id", "e.hertz", "e.share", "top_db")

@@ -208,6 +208,10 @@ class BKTree:
         return out
 
 
+def forms_of(value: str) -> list[str]:
+    return list(dict.fromkeys((folded(value), light(value), light(value.strip("() []?.")), squashed(value))))
+
+
 class Reference:
     """The names of one field's entries."""
 
@@ -221,16 +225,20 @@ class Reference:
         if value not in self.kept:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            self.kept[value] = chosen(value, self.near(value))
+            # The tree is walked only where no form of the value is a name.
+            found = chosen(value, self.exact(value))
+            self.kept[value] = found if found >= 0 else chosen(value, self.near(value))
         return self.kept[value]
 
+    def exact(self, value: str) -> list[tuple[int, int, str]]:
+        """(distance, entry, name) of names that a form of the value is; the distance is negative and tells the form."""
+        forms = forms_of(value)
+        return [(k - len(forms), i, name) for k, form in enumerate(forms) for i, name in self.names.get(form, ())]
+
     def near(self, value: str) -> list[tuple[int, int, str]]:
-        """(distance, entry, name) of every name near the value; a negative distance where a form of the value is a name, in the order of the forms."""
-        forms = dict.fromkeys((folded(value), light(value), light(value.strip("() []?.")), squashed(value)))
-        out: list[tuple[int, int, str]] = []
-        for k, form in enumerate(forms):
-            out += [(k - len(forms), i, name) for i, name in self.names.get(form, ())]
-        for form in forms:
+        """The same, and every name near the value with its distance."""
+        out = self.exact(value)
+        for form in forms_of(value):
             most = next((k for length, k in SLIPS if len(form) <= length), SLIPS[-1][1])
             # A form longer than every name by more than the slips is near none.
             if most and len(form) <= self.longest + most:

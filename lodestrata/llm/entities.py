@@ -335,9 +335,12 @@ def folder_nodes(units: DataFrame, linked: DataFrame, class_words: DataFrame, re
     paths = base.join(mended, "album_unit_id", "left").withColumn("path", F.coalesce("restored", "folder_path"))
     read = cut_lineage(spread(paths, "album_unit_id").select("album_unit_id", "track_count", "duration", _read("path").alias("r")).select("album_unit_id", "track_count", "duration", "r.*"))
     rare = cut_lineage(title_keys(releases))
-    asked = folder_keys(read, words_met(read, linked, class_words, rare)).join(class_keys(linked, class_words, rare), "key")
+    # Cut in parts: adaptive execution writes out the whole plan anew with every stage that ends, which the driver holds.
+    met = cut_lineage(words_met(read, linked, class_words, rare))
+    offered = cut_lineage(class_keys(linked, class_words, rare))
+    asked = folder_keys(read, met).join(offered, "key")
     level = F.when(F.col("exact"), F.col("exactly")).otherwise(F.col("nearly"))
-    per = asked.groupBy("album_unit_id", "class").agg(F.max(level).alias("named_exactly"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens_named"))
+    per = cut_lineage(asked.groupBy("album_unit_id", "class").agg(F.max(level).alias("named_exactly"), F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("tokens_named")))
     whole = class_words.groupBy("class").agg(F.array_sort(F.collect_set("word")).alias("class_words"))
     per = per.join(read.drop("every"), "album_unit_id").join(whole, "class")
 
@@ -436,7 +439,7 @@ def propagate(edges: DataFrame) -> DataFrame:
     touched = counted.join(shared_left.withColumn("l", F.lit(True)), "left", "left").join(shared_right.withColumn("r", F.lit(True)), "right", "left")
     touched = cut_lineage(touched.withColumn("in_play", F.coalesce("l", F.lit(False)) | F.coalesce("r", F.lit(False))).drop("l", "r", "n_left", "n_right"))
     now = touched.where("in_play").drop("in_play").withColumn("from_left", F.lit(0.0)).withColumn("from_right", F.lit(0.0))
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         up = now.withColumn("to_left", F.exp(F.least(F.col("prior") + F.col("from_right"), F.lit(30.0)))).withColumn(
             "to_right", F.when(F.col("left_sure"), F.exp(F.least(F.col("prior") + F.col("from_left"), F.lit(30.0)))).otherwise(0.0)
         )
@@ -450,9 +453,11 @@ def propagate(edges: DataFrame) -> DataFrame:
         new = new.select("left", "right", "left_sure", "prior", F.col("new_left").alias("from_left"), F.col("new_right").alias("from_right"), moved.alias("moved"))
         new = cut_lineage(new)
         now = new.drop("moved")
-        last = new.agg(F.max("moved")).first()[0] or 0.0
-        if last < STILL:
-            break
+        # Asked every third round: each question is a job.
+        if step % 3 == 2:
+            last = new.agg(F.max("moved")).first()[0] or 0.0
+            if last < STILL:
+                break
     else:
         warnings.warn(f"belief propagation moved by {last} after {ROUNDS} rounds", RuntimeWarning, stacklevel=2)
     free = touched.where("not in_play").select("left", "right", F.col("prior").alias("odds"))
@@ -478,16 +483,16 @@ def match(units: DataFrame, releases: DataFrame, spellings: DataFrame, known: Da
     # Nodes: a folder reading and an album, with their best evidence; exclusion is between titles of one class.
     fs = cut_lineage(fs.withColumn("left", F.when(F.col("alone").isNull(), F.xxhash64("class", "mark", "title")).otherwise(F.xxhash64(F.lit("alone"), "alone"))))
     f = fs.select("class", "mark", "title", "left", "alone", "year", "duration", F.col("track_count").alias("f_tracks"), "number", "named_exactly")
-    f = f.groupBy("class", "mark", "title", "left").agg(
+    f = cut_lineage(f.groupBy("class", "mark", "title", "left").agg(
         F.max("named_exactly").alias("named_exactly"), F.collect_set(F.when(F.col("year") > 0, F.col("year"))).alias("f_years"), F.max("alone").alias("alone"),
         F.collect_set(F.when(F.col("number") != "", F.col("number"))).alias("f_numbers"), F.collect_set("duration").alias("f_durations"), F.expr("percentile(f_tracks, 0.5)").alias("f_tracks")
-    )
+    ))
     named = rs.withColumnsRenamed({"mark": "r_mark", "title": "r_title"}).join(of_albums, ["class", "r_mark", "r_title"])
     named = cut_lineage(named.withColumn("right", F.xxhash64("class", "r_mark", "album")))
-    r = named.groupBy("right").agg(
+    r = cut_lineage(named.groupBy("right").agg(
         F.array_union(F.collect_set("year"), F.collect_set("first_year")).alias("r_years"), F.expr("percentile(track_count, 0.5)").alias("r_tracks"),
         F.collect_set("source_release_id").alias("r_ids"), F.collect_set("duration").alias("r_durations"),
-    )
+    ))
     sure = (F.col("is_known") | F.col("same")) & (F.col("is_short") == 0) & F.col("alone").isNull()
     edges = titles.withColumn("right", F.xxhash64("class", "r_mark", "album")).join(f, ["class", "mark", "title"]).join(r, "right")
     edges = edges.select("left", "right", sure.alias("left_sure"), _prior().alias("prior")).groupBy("left", "right").agg(F.max("left_sure").alias("left_sure"), F.max("prior").alias("prior"))

@@ -66,12 +66,9 @@ join (select distinct l_suppkey, l_partkey, l_quantity from lineitem) b on a.l_p
 select a.s_nationkey, a.s_suppkey as one, b.s_suppkey as other from supplier a join supplier b on a.s_nationkey = b.s_nationkey
 and a.s_suppkey < b.s_suppkey where not exists (select 1 from common c where c.one = a.s_suppkey and c.other = b.s_suppkey)""")
 def shared_value_antijoin(s, d):
-    """Pairs that share a value, but for pairs that also share an item. Only pairs that share the value are looked at."""
-    suppliers = table(s, d, "supplier")
-    items = table(s, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").distinct()
-    near = suppliers.select(F.col("s_suppkey").alias("one"), "s_nationkey").join(suppliers.select(F.col("s_suppkey").alias("other"), "s_nationkey"), "s_nationkey").where("one < other")
-    held = near.join(items.withColumnRenamed("l_suppkey", "one"), "one").join(items.withColumnRenamed("l_suppkey", "other"), ["other", "l_partkey", "l_quantity"], "left_semi")
-    return relational.anti_pairs(suppliers, "s_suppkey", "s_nationkey", held.select("one", "other").distinct()).select("s_nationkey", "one", "other")
+    """Pairs that share a value, but for pairs that also share an item. Only items shared within a value are looked at."""
+    held = table(s, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey", "l_quantity")
+    return relational.anti_pairs(table(s, d, "supplier"), "s_suppkey", "s_nationkey", held, ["l_partkey", "l_quantity"])
 
 
 @query("""

@@ -33,6 +33,34 @@ def test_query_equals_sql(spark, name):
     assert got == Counter(tuple(plain(r[i]) for i in at) for r in sql.fetchall())
 
 
+def test_pairs_without_shared_item_shuffle_no_pairs_times_items(spark, tmp_path):
+    suppliers = [(i, i % 7 // 6) for i in range(350)] + [(3, 0), (3, 1), (5, 0), (900, None), (None, 0), (901, 0)]
+    lines = [(i, (i * 31 + j * 7) % 4000, float(j % 5)) for i in range(350) for j in range(20)] + [(1, 5000, float("nan")), (2, 5000, float("nan")), (3, 5001, 0.0), (4, 5001, -0.0)]
+    lines += [(7, None, 1.0), (8, None, 1.0), (9, 5002, None), (10, 5002, None), (None, 1, 1.0), (900, 5001, 0.0), *lines[:40]]
+    spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for name in ("supplier", "lineitem"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = Counter(con.sql(catalogue.oracle_sql()["shared_value_antijoin"]).fetchall())
+    sc = spark.sparkContext
+    store, bus = sc._jsc.sc().statusStore(), sc._jsc.sc().listenerBus()
+
+    def shuffled():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Counter(tuple(r) for r in catalogue.queries()["shared_value_antijoin"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(n for k, n in shuffled().items() if k not in before) < 100_000 < sum(want.values()) * 20
+    assert got == want and sum(want.values()) > 30_000 and any(n > 1 for n in want.values())
+
+
 def test_tables_of_unknown_make(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿name;;year\nSão;x;1999\n;;\nshort\n".encode())
     (tmp_path / "b.csv").write_bytes("name,year\nCafé,2001\n".encode("cp1252"))
